@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import linededup, minhash, mixing, packing, toxicity
+from . import hnsw, linededup, minhash, mixing, packing, toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (mixing.op2_mixing, toxicity.op7_toxicity, packing.op8_packing, linededup.op9_linededup, minhash.op10_minhash)}
+    return {f.__name__: f for f in (hnsw.op1_embedding_dedup, mixing.op2_mixing, toxicity.op7_toxicity, packing.op8_packing, linededup.op9_linededup, minhash.op10_minhash)}
 
 
 def oracle_sql() -> dict:
