@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import hnsw, linededup, minhash, mixing, packing, toxicity
+from . import hnsw, htmltext, linededup, minhash, mixing, multiindex, packing, toxicity, warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (hnsw.op1_embedding_dedup, mixing.op2_mixing, toxicity.op7_toxicity, packing.op8_packing, linededup.op9_linededup, minhash.op10_minhash)}
+    return {f.__name__: f for f in (hnsw.op1_embedding_dedup, mixing.op2_mixing, warc.op3_warc, htmltext.op4_htmltext, multiindex.op5_multiindex, toxicity.op7_toxicity, packing.op8_packing, linededup.op9_linededup, minhash.op10_minhash)}
 
 
 def oracle_sql() -> dict:
-    return {"op2_mixing": mixing.SQL, "op9_linededup": linededup.SQL}
+    return {"op2_mixing": mixing.SQL, "op3_warc": warc.SQL, "op9_linededup": linededup.SQL}
