@@ -47,7 +47,8 @@ def covered(docs: DataFrame, size: int = LINES) -> DataFrame:
 
 def line_dedup(docs: DataFrame, size: int = LINES) -> DataFrame:
     """docs with text cut, and with n_lines, removed (sorted 1-based positions of the lines that went)."""
-    starts = covered(docs, size).withColumnRenamed("_id", "_ci").withColumnRenamed("_th", "_ct")
+    # the same join at every size: the starts grow with the input
+    starts = covered(docs, size).withColumnRenamed("_id", "_ci").withColumnRenamed("_th", "_ct").hint("merge")
     k = _keyed(docs)
     x = k.join(starts, k._id.eqNullSafe(F.col("_ci")) & (k._th == F.col("_ct")), "left")
     gone = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (size - 1))))))
