@@ -4,8 +4,13 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    return {}
+    from .plans import base, core, extra  # noqa: F401
+
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    queries()
+    from .plans import base
+
+    return dict(base.SQL)
