@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,22 +40,23 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-class Tokens(dict):
-    """Ids (little-endian unsigned 32-bit bytes) of pieces of text between ASCII white space, kept while there is room.
+class Tokens:
+    """Ids (little-endian unsigned 32-bit bytes) of pieces of text between ASCII white space.
 
     The tokenizer splits at white space before anything else, so that pieces can be tokenized one by one. A comma or full stop after an
-    ASCII letter is a piece of its own, and ASCII upper case doesn't matter, but for the tokenizer's special strings.
+    ASCII letter is a piece of its own, and ASCII upper case doesn't matter, but for the tokenizer's special strings. Pieces are kept in
+    two generations: when the new one is full it becomes the old one, from which pieces that recur return. So frequent pieces stay,
+    and memory is bounded (some 200 bytes each).
     """
 
-    LIMIT = 300_000
+    LIMIT = 800_000
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.bpe = Tokenizer.from_file(path)
-        self.end = np.array([SEPARATOR], "<u4").tobytes()
+        self.bpe, self.new, self.old = Tokenizer.from_file(path), {}, {}
+        self.end = array("I", [SEPARATOR]).tobytes()
 
     @staticmethod
     def core(piece: bytes) -> tuple[bytes, bytes]:
@@ -62,22 +64,34 @@ class Tokens(dict):
         return (low[:-1], low[-1:]) if len(low) > 1 and low[-1] in b".," and 97 <= low[-2] <= 122 else (low, b"")
 
     def learn(self, pieces: set[bytes]) -> None:
-        new = [x for x in pieces if x not in self]
-        if len(self) + 2 * len(new) > self.LIMIT:
-            self.clear()
-            new = list(pieces)
-        cores = {c: None for x in new for c in self.core(x) if c and c not in self}
-        if cores:
-            for c, e in zip(cores, self.bpe.encode_batch([c.decode() for c in cores], add_special_tokens=False), strict=True):
-                self[c] = np.array(e.ids, "<u4").tobytes()
-        for x in new:
-            a, b = self.core(x)
-            self[x] = self[a] + self[b] if b else self[a]
+        if len(self.new) > self.LIMIT:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        fresh = pieces.difference(new)
+        back = [x for x in fresh if x in old]
+        for x in back:
+            new[x] = old[x]
+        cores = {x: self.core(x) for x in fresh.difference(back)}
+        unknown = {c for pair in cores.values() for c in pair if c}.difference(new)
+        for c in unknown:
+            if c in old:
+                new[c] = old[c]
+        unknown = list(unknown.difference(old))
+        for c, e in zip(unknown, self.bpe.encode_batch([c.decode() for c in unknown], add_special_tokens=False), strict=True):
+            new[c] = array("I", e.ids).tobytes()
+        for x, (a, b) in cores.items():
+            new[x] = new[a] + new[b] if b else new[a]
 
     def of(self, texts: list[str | None]) -> Iterator[bytes]:
         pieces = [t.encode().split() if t else [] for t in texts]
         self.learn(set().union(*pieces))
-        return (b"".join(map(self.__getitem__, p)) + self.end for p in pieces)
+        return (b"".join(map(self.new.__getitem__, p)) + self.end for p in pieces)
+
+
+@lru_cache(maxsize=1)
+def tokens_of(path: str) -> Tokens:
+    """One for each Python worker, which serves many tasks."""
+    return Tokens(path)
 
 
 PLAN = "uid long, doc_id long, doc_tokens long, rest int, first_full long, crcs array<long>, rest_crc long, chunks array<long>"
@@ -89,7 +103,7 @@ def _measure(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, uid = Tokens(path), TaskContext.get().partitionId() << 33
+        tokens, uid = tokens_of(path), TaskContext.get().partitionId() << 33
         full, size, step = uid, 4 * window, 4 * CHUNK
         for b in slices(batches, "text", 1 << 20):
             rows: list[tuple] = []
