@@ -1,7 +1,7 @@
 """Chat formatting by minimum-cost role repair: a conversation is brought into a legal order of turns, [system] (user assistant)*, by
 dynamic programming over the automaton of legal turns, which chooses merges, new labels and empty insertions; then it is rendered.
 
-Costs: keep 0, merge into the turn before 1, another label 2 (1 for a role that is none of the three, or null), an empty turn 3. Of
+Costs: keep 0, merge into the turn before 1, an empty turn 2, another label 4 (1 for a role that is none of the three, or null). Of
 repairs of equal cost one with the fewest turns is taken. It ends with an assistant's turn unless `final` says otherwise. Turns are ordered by
 turn (null last), then role, then text; repeated rows are turns like any other. A null text is empty. Rows without conv_id are one
 conversation. Merged texts are joined by a blank line. In texts '<|' is rendered as '< |', so that no text looks like a mark.
@@ -23,7 +23,7 @@ ROLES = ("system", "user", "assistant")
 BEGIN = 3
 STATES = (0, 1, 2, BEGIN)
 LEGAL = {BEGIN: (0, 1), 0: (1,), 1: (2,), 2: (1,)}
-MERGE, RELABEL, NAME, INSERT = 1, 2, 1, 3
+MERGE, RELABEL, NAME, INSERT = 1, 4, 1, 2
 #: Turns of a task, about.
 TURNS = 20_000
 FAR = (1 << 40, 0)
