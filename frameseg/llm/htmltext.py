@@ -85,8 +85,7 @@ def blocks(html: str) -> list[tuple[str, list[int], float]]:
                     linked += len(s) if links else 0
             continue
         tag, end, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
-        block = tag in BLOCKS or tag in UNREAD
-        if block:
+        if tag in BLOCKS or tag == "head":
             cut()
         if end:
             for k in range(len(stack) - 1, -1, -1):
