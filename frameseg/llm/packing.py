@@ -49,43 +49,57 @@ class Tokens:
     and memory is bounded (some 200 bytes each).
     """
 
-    LIMIT = 800_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.bpe, self.new, self.old = Tokenizer.from_file(path), {}, {}
+        bpe = Tokenizer.from_file(path)
+        self.encode = getattr(bpe, "encode_batch_fast", bpe.encode_batch)
+        self.new, self.old = {}, {}
+        self.stops = dict(zip((b",", b"."), self.ids([b",", b"."]), strict=True))
         self.end = array("I", [SEPARATOR]).tobytes()
 
-    @staticmethod
-    def core(piece: bytes) -> tuple[bytes, bytes]:
-        low = piece if b"<|" in piece else piece.lower()
-        return (low[:-1], low[-1:]) if len(low) > 1 and low[-1] in b".," and 97 <= low[-2] <= 122 else (low, b"")
+    def ids(self, pieces: list[bytes]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.encode([p.decode() for p in pieces], add_special_tokens=False)]
 
     def learn(self, pieces: set[bytes]) -> None:
+        """Pieces that aren't in the new generation come into it."""
+        new, old = self.new, self.old
+        unknown, made = set(), []
+        for x in pieces:
+            if x in old:
+                new[x] = old[x]
+                continue
+            low = x if b"<|" in x else x.lower()
+            if len(low) > 1 and low[-1:] in self.stops and 97 <= low[-2] <= 122:
+                core, stop = low[:-1], low[-1:]
+            else:
+                core, stop = low, b""
+            if core not in new:
+                if core in old:
+                    new[core] = old[core]
+                else:
+                    unknown.add(core)
+            if core != x:
+                made.append((x, core, stop))
+        unknown = list(unknown)
+        new.update(zip(unknown, self.ids(unknown), strict=True))
+        for x, core, stop in made:
+            new[x] = new[core] + self.stops[stop] if stop else new[core]
+
+    def of(self, texts: list[bytes | None]) -> Iterator[bytes]:
         if len(self.new) > self.LIMIT:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        fresh = pieces.difference(new)
-        back = [x for x in fresh if x in old]
-        for x in back:
-            new[x] = old[x]
-        cores = {x: self.core(x) for x in fresh.difference(back)}
-        unknown = {c for pair in cores.values() for c in pair if c}.difference(new)
-        for c in unknown:
-            if c in old:
-                new[c] = old[c]
-        unknown = list(unknown.difference(old))
-        for c, e in zip(unknown, self.bpe.encode_batch([c.decode() for c in unknown], add_special_tokens=False), strict=True):
-            new[c] = array("I", e.ids).tobytes()
-        for x, (a, b) in cores.items():
-            new[x] = new[a] + new[b] if b else new[a]
-
-    def of(self, texts: list[str | None]) -> Iterator[bytes]:
-        pieces = [t.encode().split() if t else [] for t in texts]
-        self.learn(set().union(*pieces))
-        return (b"".join(map(self.new.__getitem__, p)) + self.end for p in pieces)
+        pieces = [t.split() if t else [] for t in texts]
+        found = [list(map(self.new.get, p)) for p in pieces]
+        gaps = [[i for i, v in enumerate(f) if v is None] if None in f else [] for f in found]
+        self.learn({p[i] for p, gap in zip(pieces, gaps, strict=True) for i in gap})
+        for p, f, gap in zip(pieces, found, gaps, strict=True):
+            for i in gap:
+                f[i] = self.new[p[i]]
+            yield b"".join(f) + self.end
 
 
 @lru_cache(maxsize=1)
@@ -107,7 +121,7 @@ def _measure(path: str, window: int):
         full, size, step = uid, 4 * window, 4 * CHUNK
         for b in slices(batches, "text", 1 << 20):
             rows: list[tuple] = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokens.of(b.column("text").to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokens.of(b.column("text").cast(pa.binary()).to_pylist()), strict=True):
                 n, view = len(ids) // 4, memoryview(ids)
                 k = n // window
                 rest = view[k * size :]
