@@ -14,14 +14,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, WordHash, components, mix, slices, table
 
 WORDS, BANDS, ROWS, BITS = 5, 32, 3, 2
 LEAST = 75  # per cent of the union
-#: A pair at the threshold is estimated 0.75 with a deviation of 0.053: below this it is not worth a look at the sets.
-PLAUSIBLE = 0.42
+#: A pair at the threshold is estimated 0.75 with a deviation of 0.053: one in a million comes out lower than this.
+PLAUSIBLE = 0.5
 
 
 def shingles(text: str | None, words: WordHash, k: int = WORDS) -> np.ndarray:
@@ -85,6 +86,47 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each document, the document's other columns beside it."""
+    words = WordHash()
+    for b in slices(batches, "text", 1 << 19):
+        sets = [shingles(t, words) for t in b.column("text").to_pylist()]
+        n = [len(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in ("id", "c", "most")], pa.array(np.concatenate(sets).view(np.int64))], ["id", "c", "most", "s"])
+
+
+def _scarce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by s those of shingles with RARE rows at most, and that number as df. Of any other shingle no more rows are held."""
+    names = ["id", "c", "most", "s"]
+
+    def few(x: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        n = np.diff(ends, prepend=0)
+        df = np.repeat(n, n)
+        ok = df <= RARE
+        return pa.RecordBatch.from_arrays([*[pa.array(c[ok]) for c in x[:, : len(df)]], pa.array(df[ok])], [*names, "df"])
+
+    held = np.empty((4, 0), np.int64)
+    for b in batches:
+        x = np.concatenate([held, np.stack([b.column(c).to_numpy() for c in names])], axis=1)
+        if not x.shape[1]:
+            continue
+        ends = np.flatnonzero(np.diff(x[3])) + 1
+        if len(ends):
+            yield few(x, ends)
+            x = x[:, ends[-1] :]
+        held = x[:, : RARE + 1]
+    if held.shape[1]:
+        yield few(held, np.array([held.shape[1]]))
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a document fall into each of TALLIES parts."""
+    words = WordHash()
+    for b in slices(batches, "text", 1 << 19):
+        counts = [np.bincount((shingles(t, words) % np.uint64(TALLIES)).astype(np.int64), minlength=TALLIES) for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(counts, pa.list_(pa.int64()))], ["id", "tally"])
+
+
 def similarity(a: str, b: str, n_words: int = BANDS * ROWS, bits: int = BITS):
     """Column: the similarity estimated from two signatures by the count of equal groups of bits, less chance collisions."""
     differ = F.lit(0)
@@ -111,56 +153,129 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
+#: Members of a bucket from which on rare shingles are looked at, and documents of a rare shingle at most.
+LARGE, RARE = 32, 16
+#: Parts into which the other shingles are counted: two documents have no more in common than the smaller counts' sum.
+TALLIES = 64
+#: Bits of the filter that keeps texts of candidates; its size bounds what is sent to each machine (16 MB).
+FILTER = 1 << 27
+
+
+def _candidates(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id is in ids: most others stop at a filter of fixed size before the shuffle."""
+    spark = texts.sparkSession
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    maps = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
+    found = np.zeros(FILTER // 8, np.uint8)
+    for r in maps.toLocalIterator():
+        found[(r.k - 1) * len(r.bits) : r.k * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    sent = spark.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = b.column("p").to_numpy()
+            yield b.select(["doc_id", "text"]).filter(pa.array((sent.value[p >> 3] >> (p & 7) & 1).astype(bool)))
+
+    some = texts.where("doc_id is not null").select("doc_id", "text", place.alias("p")).mapInArrow(run, "doc_id long, text string")
+    return some.join(ids.hint("merge"), "doc_id")
+
+
+def _large(at: DataFrame, own: DataFrame) -> DataFrame:
+    """Members of large buckets: id, component c, how many documents a rare shingle has at most, text."""
+    large = at.groupBy("id").agg(F.max("size").alias("size"), F.first("c").alias("c")).where(F.col("size") >= LARGE)
+    once = own.groupBy("doc_id").agg(F.count("*").alias("k"), F.first("text").alias("text")).where("k = 1")
+    return once.join(large, once.doc_id == large.id).select("id", "c", F.floor(F.col("size") / 4).alias("most"), "text")
+
+
 def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs(doc_id, text).
 
-    Equal sets collapse to one representative first. Round one links each bucket's members with its smallest; round two
-    looks only at pairs of a bucket that are still in different components. Candidates have a plausible estimate; links are
-    confirmed on the texts' full sets. No pair of a bucket that could join two components is left out.
+    Equal sets collapse to one representative first. Every bucket has two leaders, drawn by hash, so that a group of copies has many.
+    Round one compares each document with the two most similar of its buckets' first leaders, round two those whose bucket still
+    spans components with all its buckets' leaders, round three with every member of another component. Candidates have a plausible
+    estimate; links are confirmed on the texts' full sets. In buckets of LARGE or more members a pair without a common rare shingle is
+    passed over if their other shingles, counted by parts, can't overlap enough for a link; pairs with a common rare shingle are found by it, and
+    such a shingle has few documents. No other plausible pair of a bucket that could join two components is left out.
     """
     assert least == LEAST, "bands are laid out for this threshold"
-    spark = docs.sparkSession
-    tmp = Scratch(spark, "minhash")
+    tmp = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = tmp.save(texts.mapInArrow(_signatures, SIGNATURE), "sets")
     some = sets.where("doc_id is not null and digest is not null")
-    first = some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    reps = tmp.save(first, "reps")
+    reps = tmp.save(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "reps")
     bands = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
-    lead = bands.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
-    held = tmp.save(bands.join(lead, "key").select("key", "id", "lead"), "held")
-    sig = reps.select(F.col("rep").alias("id"), "sig")
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-        return x.where(similarity("sa", "sb") >= PLAUSIBLE).select("a", "b").distinct()
+    draw = [F.struct(F.xxhash64("key", "id", F.lit(i)), F.col("id").alias("id")) for i in (1, 2)]
+    lead = bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("last"), F.count("*").alias("size"), *[F.min(d)["id"].alias(f"lead{i}") for i, d in enumerate(draw, 1)])
+    held = tmp.save(bands.join(lead.where("least < last").drop("least", "last"), "key"), "held")
+    facts = reps.select(F.col("rep").alias("id"), "sig", "n", F.lit(None).cast("array<long>").alias("tally"))
+    own = tmp.save(_candidates(texts, held.select(F.col("id").alias("doc_id")).distinct()).distinct(), "own")
+
+    def both(facts: DataFrame, i: str, x: str) -> DataFrame:
+        return facts.select(F.col("id").alias(i), *[F.col(c).alias(c + x) for c in ("sig", "n", "tally")])
+
+    def possible():
+        """By the estimate, and by the number of shingles that both can have."""
+        overlap = F.aggregate(F.zip_with("tally_a", "tally_b", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda t, v: t + v)
+        most = F.when(F.col("tally_a").isNotNull() & F.col("tally_b").isNotNull(), overlap).otherwise(F.least("n_a", "n_b"))
+        return (similarity("sig_a", "sig_b") >= PLAUSIBLE) & (100 * most >= LEAST * (F.col("n_a") + F.col("n_b") - most))
+
+    def estimated(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+        """Of pairs (id, other) the possible ones, smaller id first."""
+        x = pairs.join(both(facts, "id", "_a"), "id").join(both(facts, "other", "_b"), "other").where(possible())
+        return x.select("id", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), similarity("sig_a", "sig_b").alias("est"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        need = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        own = tmp.save(texts.join(need, "doc_id").distinct(), "own")
         x = pairs.join(own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         x = x.join(own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         return x.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long").distinct()
 
-    pairs = tmp.save(plausible(held.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()), "pairs1")
-    links = tmp.save(confirmed(pairs), "links1")
+    best = W.partitionBy("id").orderBy(F.desc("est"), "a", "b")
+    first = estimated(held.where("id <> lead1").select("id", F.col("lead1").alias("other")).distinct(), facts)
+    first = tmp.save(first.withColumn("nth", F.row_number().over(best)).where("nth <= 2").select("a", "b").distinct(), "pairs1")
     # rows that share a doc_id are one vertex
-    same = some.join(reps.select("digest", "rep"), "digest").where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z"), F.collect_set("rep").alias("reps")).where("a < z")
-    same = tmp.save(same.select("a", F.explode("reps").alias("b")).unionByName(same.select("a", F.col("doc_id").alias("b"))).where("a <> b"), "same")
-    known = components(tmp, links.unionByName(same), "cc1")
-
-    # round two: buckets that still span components
-    at = held.join(known, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
-    split = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "lo")
-    at = tmp.save(at.join(split, "key").join(sig, "id").select("key", "id", "c", "lo", "sig"), "split")
-    x = at.where("c <> lo").select("key", F.col("id").alias("i"), F.col("c").alias("ci"), F.col("sig").alias("sa"))
-    y = at.select("key", F.col("id").alias("j"), F.col("c").alias("cj"), F.col("lo"), F.col("sig").alias("sb"))
-    more = x.join(y, (x.key == y.key) & (x.ci != y.cj) & ((y.cj == y.lo) | (x.i < y.j)) & (similarity("sa", "sb") >= PLAUSIBLE))
-    more = more.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = tmp.save(more, "pairs2")
-    if not more.isEmpty():
-        late = tmp.save(confirmed(more), "links2")
-        known = components(tmp, links.unionByName(same).unionByName(late), "cc2")
+    copies = some.join(reps.select("digest", "rep"), "digest").where("doc_id <> rep").select("doc_id", F.col("rep").alias("a"))
+    several = copies.groupBy("doc_id").agg(F.min("a").alias("a"), F.max("a").alias("z"), F.collect_set("a").alias("reps")).where("a < z").select("a", F.explode("reps").alias("b")).where("a <> b")
+    itself = copies.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("a", F.col("doc_id").alias("b"))
+    same = tmp.save(several.unionByName(itself), "same")
+    links = tmp.save(confirmed(first), "links1").unionByName(same)
+    known = components(tmp, links, "cc1")
+
+    def spanning() -> DataFrame:
+        """Members of buckets that span components, with their component c and the bucket's smallest one, lo."""
+        at = held.join(known, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
+        return at.join(at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "lo"), "key")
+
+    at = tmp.save(spanning(), "at")
+    inside = _large(at, own)
+    # a shingle is rare for a document if it has few documents, and far fewer than the document's largest bucket
+    rows = inside.mapInArrow(_listed, "id long, c long, most long, s long").repartition("s").sortWithinPartitions("s")
+    few = tmp.save(rows.mapInArrow(_scarce, "id long, c long, most long, s long, df long"), "few")
+    rare = few.where("df <= most")
+    part = F.pmod(F.col("s"), F.lit(TALLIES)).cast("int")  # the hash's low bits, signed or not
+    less = rare.groupBy("id", part.alias("p")).agg(F.count("*").alias("k")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("p", "k"))).alias("less"))
+    tally = inside.mapInArrow(_tallied, "id long, tally array<long>").join(less, "id", "left")
+    tally = tally.select("id", F.transform("tally", lambda v, i: v - F.coalesce(F.try_element_at("less", i), F.lit(0))).alias("tally"))
+    plain, facts = facts, tmp.save(facts.drop("tally").join(tally, "id", "left"), "facts")
+    by_rare = rare.where("df > 1").select("s", "id", "c").join(few.select("s", F.col("id").alias("other"), F.col("c").alias("co")), "s").where("c <> co")
+    by_rare = tmp.save(estimated(by_rare.select("id", "other").distinct(), plain).select("a", "b").distinct(), "rare")
+    second = at.select("id", "c", F.explode(F.array("lead1", "lead2")).alias("other")).where("id <> other").distinct()
+    label = known.select(F.col("id").alias("other"), F.col("component_id").alias("co"))
+    second = second.join(label, "other", "left").where("c <> coalesce(co, other)").select("id", "other")
+    second = tmp.save(estimated(second, facts).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs2")
+    if not second.isEmpty():
+        links = links.unionByName(tmp.save(confirmed(second), "links2"))
+        known = components(tmp, links, "cc2")
+
+    at = tmp.save(spanning().select("key", "id", "c", "lo"), "spanning")
+    x = at.where("c <> lo").select("key", F.col("id").alias("i"), F.col("c").alias("ci")).join(both(facts, "i", "_a"), "i")
+    y = at.select("key", F.col("id").alias("j"), F.col("c").alias("cj"), "lo").join(both(facts, "j", "_b"), "j")
+    third = x.join(y, (x.key == y.key) & (x.ci != y.cj) & ((y.cj == y.lo) | (x.i < y.j)) & possible())
+    third = third.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    third = third.unionByName(by_rare).distinct()
+    third = tmp.save(third.join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs3")
+    if not third.isEmpty():
+        links = links.unionByName(tmp.save(confirmed(third), "links3"))
+        known = components(tmp, links, "cc3")
     rep = reps.select("digest", "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     out = sets.join(rep, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
