@@ -63,7 +63,7 @@ class Scratch:
 class WordHash(dict):
     """64-bit hashes of words (bytes), kept while there is room."""
 
-    def __init__(self, limit: int = 400_000, strip: bytes = b""):
+    def __init__(self, limit: int = 150_000, strip: bytes = b""):
         super().__init__()
         self.limit, self.strip = limit, strip
 
