@@ -22,8 +22,10 @@ LEAST = 0.98
 M, EF_BUILD, EF_QUERY, EF_MOST = 12, 32, 16, 512
 #: Vectors in a shard and queries in a block at most, about; both bound a task's memory.
 SHARD, BLOCK = 65_536, 16_384
-#: Queries of each task that are audited, and the share of their links that must be found.
-AUDIT, RECALL = 128, 0.9999
+#: Queries of each task that are audited, the share of their neighbours that must be found, and how many neighbours each has at least.
+AUDIT, RECALL, NEAREST = 128, 0.9999, 10
+#: A beam costs about as much as a scan of this many nodes for each unit of its width.
+SCAN = 1000
 #: Cosines in single precision are taken for candidates from this much below the threshold.
 SLACK = 1e-4
 
@@ -117,9 +119,10 @@ class Hnsw:
         rank = np.argsort(np.where(keep, 0, 1) + np.where(s > -2, 0, 2), axis=1, kind="stable")[:, :m]
         return np.where(np.take_along_axis(s, rank, 1) > -2, np.take_along_axis(cand, rank, 1), -1)
 
-    def _beam(self, q: np.ndarray, at: np.ndarray, level: int, ef: int, known: int, least: float = 2.0):
-        """Ids and similarities of up to ef found nodes of a level, best first, and (query, node) pairs of all evaluated ones from `least` on."""
+    def _beam(self, q: np.ndarray, at: np.ndarray, level: int, ef: int, known: int, least: float | np.ndarray = 2.0):
+        """Ids and similarities of up to ef found nodes of a level, best first, and (query, node) pairs of all evaluated ones from `least` (one, or one a query) on."""
         n, links = len(q), self.links[level]
+        least = np.broadcast_to(np.asarray(least, np.float32), n)
         seen = np.zeros((n, known), bool)
         ids = np.full((n, max(ef, at.shape[1])), -1, np.int64)
         ids[:, : at.shape[1]] = at
@@ -130,7 +133,7 @@ class Hnsw:
         sims = np.where(ids >= 0, np.einsum("qd,qcd->qc", q, self.x[np.maximum(ids, 0)]), -2.0).astype(np.float32)
         r, c = np.nonzero(ids >= 0)
         seen[r, ids[r, c]] = True
-        hits = [(r[h], ids[r, c][h]) for h in [sims[r, c] >= least]]
+        hits = [(r[h], ids[r, c][h]) for h in [sims[r, c] >= least[r]]]
         open_ = ids >= 0
         live = np.arange(n)
         while len(live):
@@ -150,7 +153,7 @@ class Hnsw:
             seen[rows[r], nb[r, c]] = True
             s = np.full(nb.shape, -2.0, np.float32)
             s[r, c] = np.einsum("pd,pd->p", q[rows[r]], self.x[nb[r, c]])
-            h = s[r, c] >= least
+            h = s[r, c] >= least[rows[r]]
             if h.any():
                 hits.append((rows[r][h], nb[r, c][h]))
             alls = np.concatenate([sims[rows], s], 1)
@@ -162,8 +165,9 @@ class Hnsw:
         found = (np.concatenate([h[0] for h in hits]), np.concatenate([h[1] for h in hits]))
         return np.take_along_axis(ids, order, 1), seen, found
 
-    def near(self, q: np.ndarray, least: float, ef: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, q: np.ndarray, least: float | np.ndarray, ef: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs of similarity from `least` on: by beam, then from hit to hit. own: queries' own nodes, -1 if not here."""
+        least = np.broadcast_to(np.asarray(least, np.float32), len(q))
         at = np.zeros((len(q), 1), np.int64)
         for level in range(len(self.links) - 1, 0, -1):
             at = self._beam(q, at, level, 1, len(self.links[level]))[0][:, :1]
@@ -183,8 +187,8 @@ class Hnsw:
                 a, b = pair // len(self.x), pair % len(self.x)
                 seen[a, b] = True
                 s = np.concatenate([np.einsum("pd,pd->p", q[a[j : j + 20_000]], self.x[b[j : j + 20_000]]) for j in range(0, len(a), 20_000)] or [np.empty(0)])
-                nq.append(a[s >= least])
-                nn.append(b[s >= least])
+                nq.append(a[s >= least[a]])
+                nn.append(b[s >= least[a]])
             fq, fn = np.concatenate(nq), np.concatenate(nn)
             out.append((fq, fn))
         return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
@@ -205,14 +209,24 @@ class Hnsw:
 
 
 def near_pairs(g: Hnsw, q: np.ndarray, own: np.ndarray, least: float, audit: int = AUDIT, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs from `least` on; the beam doubles until the audited queries miss nothing, then the shard is scanned as a whole."""
+    """Pairs from `least` on; the beam doubles until the audited queries miss nothing. The shard is scanned as a whole if no beam suffices or
+    the one that does was widened and costs more.
+
+    Audited are a query's links and, as most have none, its NEAREST nodes whatever their cosine; its own node, an entry of the beam, is no evidence.
+    """
     n, ef = len(g.x), EF_QUERY
     tried = np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int)
-    s = q[tried] @ g.x.T >= least
-    truth = set(zip(*map(np.ndarray.tolist, np.nonzero(s)), strict=True))
-    while ef <= min(n, EF_MOST):
-        a, b = g.near(q[tried], least, ef, own[tried])
+    s = q[tried] @ g.x.T
+    here = own[tried] >= 0
+    s[here, own[tried][here]] = -2
+    k = min(NEAREST, n - 1)
+    low = np.minimum(np.partition(s, n - k, axis=1)[:, n - k], np.float32(least)) if k else np.full(len(tried), least, np.float32)
+    truth = set(zip(*map(np.ndarray.tolist, np.nonzero(s >= low[:, None])), strict=True))
+    while truth and ef <= min(n, EF_MOST):
+        a, b = g.near(q[tried], low - np.float32(SLACK), ef, own[tried])  # cosines differ in the last digits by how they are summed
         if len(truth & set(zip(a.tolist(), b.tolist(), strict=True))) >= recall * len(truth):
+            if ef > EF_QUERY and ef * SCAN >= n:
+                break
             rest = [g.near(q[i : i + 256], least, ef, own[i : i + 256]) for i in range(0, len(q), 256)]
             return np.concatenate([r[0] + 256 * i for i, r in enumerate(rest)]), np.concatenate([r[1] for r in rest])
         ef *= 2

@@ -82,3 +82,19 @@ def test_beam_widens_until_the_audit_passes(monkeypatch):
     assert asked[:3] == [16, 32, 64]
     found = set(zip(a.tolist(), b.tolist(), strict=True))
     assert found == set(zip(*map(np.ndarray.tolist, np.nonzero(x @ g.x.T >= 0.98)), strict=True))
+
+
+def test_audit_sees_a_poor_graph_where_links_are_rare():
+    rng, n, pairs = np.random.default_rng(3), 3000, 150
+    x = rng.normal(size=(n, 64))
+    at = rng.choice(n, 2 * pairs, replace=False)
+    x[at[:pairs]] = x[at[pairs:]] + rng.normal(0, 0.147, (pairs, 64))
+    x = H.unit(x.astype(np.float32))
+    g = H.Hnsw.build(x, 4, 8)
+    own = np.empty(n, int)
+    own[g.order] = np.arange(n)
+    want = set(zip(*map(np.ndarray.tolist, np.nonzero(x @ g.x.T >= 0.98)), strict=True))
+    assert len(want) > n + pairs
+    for q, mine in ((x, own), (x, np.full(n, -1))):
+        a, b = H.near_pairs(g, q, mine, 0.98)
+        assert set(zip(a.tolist(), b.tolist(), strict=True)) == want
