@@ -126,7 +126,7 @@ def p15(spark, d):
 
 @query("p16_alignment", T.sql("select vod_id, frame_idx, prob, label from frames join (select * from labs where frame_idx < 150) using (vod_id, frame_idx)", T.FRAMES, T.LABELS))
 def p16(spark, d):
-    return X.frames(spark, d).join(X.labels(spark, d).where("frame_idx < 150"), ["vod_id", "frame_idx"])
+    return X.frames(spark, d).join(X.labels(spark, d), ["vod_id", "frame_idx"])
 
 
 @query("p17_standardise", T.sql("select vod_id, frame_idx, round((prob - m) / (s + 1e-8::double), 6) as z, round((prob - m) / (s + 1e-8::double) * (s + 1e-8::double) + m, 6) as back from (select *, avg(prob) over w as m, stddev_samp(prob) over w as s from frames window w as (partition by vod_id, frame_idx // 64))", T.FRAMES))
@@ -310,8 +310,7 @@ TARGETS = """select f.vod_id, f.frame_idx, case when exists (select 1 from truth
 
 @query("j6_target_classes", T.sql(TARGETS, T.FRAMES, T.LABELS, T.FEATURES, T.truth()))
 def j6(spark, d):
-    features = X.feature_frames(spark, d).where("vod_id <> 'view' and frame_idx < 1000")
-    return L.target_classes(X.frames(spark, d).select("vod_id", "frame_idx"), features, M.truth_segments(X.labels(spark, d), RATE, 90), PCFG).select("vod_id", "frame_idx", "label")
+    return L.target_classes(X.frames(spark, d).select("vod_id", "frame_idx"), X.feature_frames(spark, d), M.truth_segments(X.labels(spark, d), RATE, 90), PCFG).select("vod_id", "frame_idx", "label")
 
 
 OTHERS = """select f.vod_id, f.frame_idx, coalesce((select max(case when f.frame_idx >= a + 4 and f.frame_idx < b - 4 then 2 end) from p where p.vod_id = f.vod_id), (select max(case when f.frame_idx >= a - 4 and f.frame_idx < b + 4 then -1 end) from p where p.vod_id = f.vod_id),
