@@ -167,7 +167,7 @@ def o1(spark, d):
     gold = m.where("streamer = '0'").select("vod", F.lit(12.0).alias("weight"))
     others = m.where("streamer <> '0'").select("vod", F.lit("x").alias("focus"))
     kind = F.element_at(F.array(*map(F.lit, ("voc_mismatch_", "remix_other_", "accomp_only_", "plain_"))), (F.col("event_id") % 4 + 1).cast("int"))
-    synth = X.table(spark, d, "events").where("event_id < 200").select(F.concat(kind, F.col("event_id").cast("string")).alias("vod"), F.lit(0.25).alias("weight"))
+    synth = X.table(spark, d, "events").select(F.concat(kind, F.col("event_id").cast("string")).alias("vod"), F.lit(0.25).alias("weight"))
     return gold.unionByName(others, allowMissingColumns=True).unionByName(synth, allowMissingColumns=True).select("vod", "weight", "focus")
 
 

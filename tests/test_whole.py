@@ -13,6 +13,7 @@ from tests.test_oracle import DATA, duck, rows  # noqa: F401
 CUTS = {
     "p16_alignment": [(" where frame_idx < 150", "")],
     "j6_target_classes": [(" where vod_id <> 'view' and frame_idx < 1000", ""), ("when f.vod_id = 'view' then 4 ", "")],
+    "o1_union_sources": [(" where event_id < 200", "")],
 }
 
 
