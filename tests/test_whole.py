@@ -14,6 +14,7 @@ CUTS = {
     "p16_alignment": [(" where frame_idx < 150", "")],
     "j6_target_classes": [(" where vod_id <> 'view' and frame_idx < 1000", ""), ("when f.vod_id = 'view' then 4 ", "")],
     "o1_union_sources": [(" where event_id < 200", "")],
+    "w12_segment_numbering": [(" where seg_no < 100", ""), ("2, '0')", "greatest(2, length(seg_no::varchar))::int, '0')")],
 }
 
 
@@ -40,3 +41,11 @@ def test_target_classes_without_features(spark):
     none = spark.createDataFrame([], "vod_id string, start double, end double")
     got = sorted((r.vod_id, r.frame_idx, r.label) for r in L.target_classes(grid, x, none, PCFG).collect())
     assert [r[2] for r in got] == [-1, -1, 0, 0, 4, 4, 4, 4]
+
+
+def test_numbers_beyond_99(spark, monkeypatch):
+    from frameseg.plans import core
+
+    monkeypatch.setattr(core.X, "frames", lambda *a: None)
+    monkeypatch.setattr(core.S, "probs_to_segments", lambda *a: spark.range(1, 106).selectExpr("'v' vod_id", "id seg_no"))
+    assert sorted(r.clip for r in core.w12(spark, "").collect()) == sorted(f"v_song{i:02d}" for i in range(1, 106))
