@@ -189,7 +189,7 @@ def o3(spark, d):
 @query("o4_chunk_concat", T.sql("select vod_id, string_agg(round(prob * 100)::int::varchar, ',' order by frame_idx) as series from frames where vod_id = 'view' group by vod_id", T.FRAMES))
 def o4(spark, d):
     """Chunks of a series, each an array, one after the other again."""
-    x = X.frames(spark, d).where("vod_id = 'view'").withColumn("chunk_id", F.floor(F.col("frame_idx") / 64))
+    x = X.frames(spark, d).withColumn("chunk_id", F.floor(F.col("frame_idx") / 64))
     c = x.groupBy("vod_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "prob"))).alias("c"))
     c = c.select("vod_id", F.struct("chunk_id", F.transform("c", lambda v: v["prob"]).alias("s")).alias("c"))
     c = c.groupBy("vod_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
@@ -251,12 +251,12 @@ def f6(spark, d):
 
 @query("f7_truncate", T.sql("select frame_idx, trunc(round(frame_idx / 3.125::double, 2) * 3.125::double)::int as back from frames where vod_id = 'view'", T.FRAMES))
 def f7(spark, d):
-    return X.frames(spark, d).where("vod_id = 'view'").select("frame_idx", (F.round(F.col("frame_idx") / F.lit(3.125), 2) * 3.125).cast("int").alias("back"))
+    return X.frames(spark, d).select("vod_id", "frame_idx", (F.round(F.col("frame_idx") / F.lit(3.125), 2) * 3.125).cast("int").alias("back"))
 
 
 @query("f8_round_half_even", T.sql("select frame_idx, round_even(frame_idx * 0.5::double, 0)::int as near from frames where vod_id = 'view'", T.FRAMES))
 def f8(spark, d):
-    return X.frames(spark, d).where("vod_id = 'view'").select("frame_idx", F.rint(F.col("frame_idx") * 0.5).cast("int").alias("near"))
+    return X.frames(spark, d).select("vod_id", "frame_idx", F.rint(F.col("frame_idx") * 0.5).cast("int").alias("near"))
 
 
 @query("f9_clamp", T.sql("select vod_id, frame_idx, least(150, greatest(0, frame_idx - 20)) as at from frames", T.FRAMES))

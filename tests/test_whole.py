@@ -14,6 +14,9 @@ CUTS = {
     "p16_alignment": [(" where frame_idx < 150", "")],
     "j6_target_classes": [(" where vod_id <> 'view' and frame_idx < 1000", ""), ("when f.vod_id = 'view' then 4 ", "")],
     "o1_union_sources": [(" where event_id < 200", "")],
+    "o4_chunk_concat": [(" where vod_id = 'view'", "")],
+    "f7_truncate": [(" where vod_id = 'view'", ""), ("select frame_idx,", "select vod_id, frame_idx,")],
+    "f8_round_half_even": [(" where vod_id = 'view'", ""), ("select frame_idx,", "select vod_id, frame_idx,")],
     "w12_segment_numbering": [(" where seg_no < 100", ""), ("2, '0')", "greatest(2, length(seg_no::varchar))::int, '0')")],
 }
 
