@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 import pytest
 
 from frameseg import registry
@@ -23,7 +24,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
         return None
     return v if isinstance(v, (str, bool)) else float(v) if isinstance(v, (int, float)) else str(v)
 
