@@ -2,6 +2,11 @@
 
 Toxicity (rejected documents go), line dedup (later occurrences of repeated three-line windows go), MinHash near-dedup (one document of
 each group stays), mixing (documents repeat at their source's rate) and packing (pieces of sequences).
+
+Needed are doc_id, text, source and, if it is there, n_chars; all other columns, whatever their names, pass through the first four
+stages. Null texts are never toxic, have no lines and no shingles, size 0 (so that a mix may leave them out or take them any number of
+times up to three) and pack as one separator. Empty texts likewise. Rows that repeat a doc_id: one of them passes MinHash. A null doc_id passes
+it unlinked. No documents: no rows.
 """
 
 from __future__ import annotations
