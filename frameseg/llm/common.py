@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir; only where it is unset (tests) a folder of this machine."""
+    """The folder that all machines share: spark.checkpoint.dir. Where it is unset a local session, which is one machine, gets a folder
+    of its own; on a cluster that is an error, as machines don't share any folder that could be made up here."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir isn't set; on {master} it must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="frameseg-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(_rm_local, found[7:])
@@ -38,28 +43,53 @@ def _rm_local(path: str) -> None:
 
 
 class Scratch:
-    """Written tables below the shared folder. They cut lineage and outlive executors; drop() removes one early."""
+    """Written tables below the shared folder. They cut lineage and outlive executors; drop() removes them early, and what is left goes
+    when the process ends. An operator whose result is small saves it and drops all else (only())."""
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
+        self.spark, self.base, self.names = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", set()
+        atexit.register(self._end)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.add(name)
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str = "") -> None:
-        try:
-            jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.base)
+    def only(self, df: DataFrame, name: str) -> DataFrame:
+        """Saves a table and drops all others."""
+        out = self.save(df, name)
+        self.drop(*(self.names - {name}))
+        return out
+
+    def drop(self, *names: str) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
             at.getFileSystem(conf).delete(at, True)
-        except Exception:  # the session may have ended; its folder goes with it
+        self.names -= set(names)
+
+    def _end(self) -> None:
+        if not self.names or self.spark.sparkContext._jsc is None:  # the session has ended
+            return
+        try:
+            self.drop(*self.names)
+        except (OSError, Py4JError):  # its JVM has
             pass
 
 
+def aside(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with every column but those of `used` under a name that no operator uses, in the same order."""
+    return docs.toDF(*(c if c in used else f"_user{i}" for i, c in enumerate(docs.columns)))
+
+
+def restored(out: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
+    """The columns of docs, under their names, of what has been made from aside(docs, *used)."""
+    return out.select(*(F.col(c if c in used else f"_user{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 class WordHash(dict):
     """64-bit hashes of words (bytes), kept while there is room."""
 

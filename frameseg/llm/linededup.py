@@ -3,7 +3,9 @@ found, and later occurrences go, covered positions merged.
 
 Occurrences are ordered by doc_id (null last), then by the text's hash, then by position; the first one stays. Rows that
 repeat both doc_id and text count as one document and share their fate. Texts of fewer than three lines have no window.
-Windows of blank lines only are left alone. Null text stays null with 0 lines; an empty text is one blank line.
+Windows of blank lines only are left alone. Null text stays null with 0 lines; an empty text is one blank line. No documents:
+no rows. Other columns pass through whatever their names; where docs has a column n_lines or removed, the operator's own gets
+underscores in front until it is free.
 """
 
 from __future__ import annotations
@@ -11,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, aside, restored, table
 
 LINES = 3
+#: Parts into which the occurrences of a window are dealt, as one window may have a third of all.
+SALTS = 8
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -41,24 +45,35 @@ def covered(docs: DataFrame, size: int = LINES) -> DataFrame:
     w = tmp.save(windows(_keyed(docs.select("doc_id", "text")), size), "windows")
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_th").alias("t"), F.col("pos").alias("p"))
     first = w.groupBy("h1", "h2").agg(F.min(order).alias("f"), F.max(order).alias("l")).where("f < l").select("h1", "h2", "f")
-    later = w.join(first, ["h1", "h2"]).where(~order.eqNullSafe(F.col("f")))
-    return tmp.save(later.groupBy("_id", "_th").agg(F.collect_set("pos").alias("starts")), "starts")
+    # only repeated windows are copied for the salt; the occurrences stay one row each
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    later = w.withColumn("salt", F.pmod(F.xxhash64("_id", "_th", "pos"), F.lit(SALTS)).cast("int")).join(first, ["h1", "h2", "salt"]).where(~order.eqNullSafe(F.col("f")))
+    return tmp.only(later.groupBy("_id", "_th").agg(F.collect_set("pos").alias("starts")), "starts")
 
 
 def line_dedup(docs: DataFrame, size: int = LINES) -> DataFrame:
     """docs with text cut, and with n_lines, removed (sorted 1-based positions of the lines that went)."""
     # the same join at every size: the starts grow with the input
-    starts = covered(docs, size).withColumnRenamed("_id", "_ci").withColumnRenamed("_th", "_ct").hint("merge")
-    k = _keyed(docs)
+    starts, used = covered(docs, size).withColumnRenamed("_id", "_ci").withColumnRenamed("_th", "_ct").hint("merge"), ("doc_id", "text")
+    k = _keyed(aside(docs, *used))
     x = k.join(starts, k._id.eqNullSafe(F.col("_ci")) & (k._th == F.col("_ct")), "left")
     gone = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (size - 1))))))
-    x = x.withColumn("removed", F.coalesce(gone, F.expr("array()").cast("array<int>")))
+    x = x.withColumn("_gone", F.coalesce(gone, F.expr("array()").cast("array<int>")))
     ls = F.split("text", "\n", -1)
     # lines that stay, by their positions; texts without repeats are not split
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(ls)), F.col("removed")), lambda i: F.get(ls, i - 1)), "\n")
-    x = x.withColumn("n_lines", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)))
-    x = x.withColumn("text", F.when(F.size("removed") > 0, kept).otherwise(F.col("text")))
-    return x.select(*docs.columns, "n_lines", "removed")
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(ls)), F.col("_gone")), lambda i: F.get(ls, i - 1)), "\n")
+    x = x.withColumn("_n", F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)))
+    x = x.withColumn("text", F.when(F.size("_gone") > 0, kept).otherwise(F.col("text")))
+    own = [F.col(c if c in used else f"_user{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return x.select(*own, F.col("_n").alias(free(docs, "n_lines")), F.col("_gone").alias(free(docs, "removed")))
+
+
+def free(docs: DataFrame, name: str) -> str:
+    """The name, with underscores in front until docs has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +105,10 @@ from documents d left join r on d.doc_id = r.doc_id
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: texts lose repeated windows; n_chars follows. A document of which nothing is left goes."""
-    out = line_dedup(docs)
+    """Pipeline: texts lose repeated windows; n_chars, if there is such a column, follows. A document of which nothing is left goes."""
+    used = ("doc_id", "text", "n_chars")
+    out = line_dedup(aside(docs, *used))
     out = out.where((F.size("removed") == 0) | (F.length(F.trim("text")) > 0))
-    return out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return restored(out, docs, *used)

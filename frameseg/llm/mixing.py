@@ -4,7 +4,8 @@ floor(rate) times plus one hash-seeded Bernoulli copy with the fraction as its p
 Sources by code point, null last as a source of its own, weigh 5, 2, 1 in turn. A target stops at CAP times its source's
 size and the excess is shared anew by weight: target = min(cap, level * weight) at the one level where targets sum to the
 total. Null, empty and wordless texts have size 0; if all are, every target is 0. Rows that repeat a doc_id draw alike.
-A null doc_id draws as the text 'null'.
+A null doc_id draws as the text 'null'. No documents: no rows. The query reads doc_id, source and text alone; the stage passes
+every other column through, whatever its name.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, table
+from .common import WORD, Scratch, aside, restored, table
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
 #: Up to so many sources the targets (some 50 bytes each) are broadcast; beyond, the join is left to the planner.
@@ -85,8 +86,8 @@ from (select d.doc_id, d.size, r.source_size, r.target, case when r.source_size
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: each document as many times as the mix takes it."""
-    tmp = Scratch(spark, "mix")
+    tmp, used = Scratch(spark, "mix"), ("doc_id", "source", "text")
     sized = docs.select("source", n_words().alias("size"))
-    x = _with_targets(docs, tmp.save(targets(sized), "targets"))
+    x = _with_targets(aside(docs, *used), tmp.save(targets(sized), "targets"))
     n = copies(F.col("rate"), F.col("doc_id"))
-    return x.where(n > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), n)).alias("_copy")).drop("_copy")
+    return restored(x.where(n > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), n))), docs, *used)

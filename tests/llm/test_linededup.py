@@ -26,13 +26,16 @@ def test_against_brute_force(spark):
     rng = random.Random(4)
     rows = [(i, "\n".join(rng.choice("abcdef") if rng.random() < 0.7 else f"u{i}{k}" for k in range(rng.randint(0, 14)))) for i in range(60)]
     rows += [(100, ""), (101, "one"), (102, "x\ny"), (103, "\n" * 6), (104, "\n" * 6), (105, "q\n" * 5000)]
-    docs = spark.createDataFrame([(i, t, 3) for i, t in rows] + [(106, None, 3)], "doc_id long, text string, removed int").drop("removed")
+    docs = spark.createDataFrame([(i, t, 3, "x", i, 4) for i, t in rows] + [(106, None, 3, "x", 106, 4)], "doc_id long, text string, removed int, _removed string, starts long, _id int")
     want = brute(rows)
-    for r in L.line_dedup(docs).collect():
+    out = L.line_dedup(docs)
+    assert out.columns == [*docs.columns, "n_lines", "__removed"]
+    for r in out.collect():
+        assert (r.removed, r["_removed"], r.starts, r["_id"]) == (3, "x", r.doc_id, 4)
         if r.doc_id == 106:
-            assert r.text is None and r.n_lines == 0 and r.removed == []
+            assert r.text is None and r.n_lines == 0 and r["__removed"] == []
         else:
-            assert (r.text, r.removed) == want[r.doc_id], r.doc_id
+            assert (r.text, r["__removed"]) == want[r.doc_id], r.doc_id
             assert r.n_lines == dict(rows)[r.doc_id].count("\n") + 1
 
 

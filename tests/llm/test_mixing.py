@@ -34,14 +34,14 @@ def test_targets_by_rounds(spark):
 
 def test_odd_rows(spark):
     rows = [(1, None, "a b"), (2, "x", None), (3, "x", ""), (None, "x", "   "), (4, "y", "é\tü\nz"), (4, "y", "é\tü\nz")]
-    docs = spark.createDataFrame([(i, s, t, 0.5) for i, s, t in rows], "doc_id long, source string, text string, rate double").drop("rate")
+    docs = spark.createDataFrame([(i, s, t, 0.5) for i, s, t in rows], "doc_id long, source string, text string, rate double")
     sized = docs.select("doc_id", "source", M.n_words().alias("size"))
     got = {(r.doc_id, r.source): r["size"] for r in sized.collect()}
     assert got == {(1, None): 2, (2, "x"): 0, (3, "x"): 0, (None, "x"): 2, (4, "y"): 3}
     t = {r.source: r for r in M.targets(sized).collect()}
     assert sum(r.target for r in t.values()) == 10 and all(r.target <= 3 * r.source_size for r in t.values())
     out = M.stage(spark, docs, "")
-    assert out.columns == docs.columns
+    assert out.columns == docs.columns and all(r.rate == 0.5 for r in out.collect())
     n = [r.doc_id for r in out.collect()]
     assert n.count(4) % 2 == 0 and n.count(2) <= 3
 
@@ -59,3 +59,10 @@ def test_taken_is_near_the_target(spark):
     x = x.withColumn("taken", x["size"] * M.copies(x.rate, x.doc_id))
     for r in x.groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
         assert abs(r["sum(taken)"] - r["max(target)"]) < 0.05 * r["max(target)"]
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "a", "w " * 2_000_000), (2, "b", "w")], "doc_id long, source string, text string")
+    sized = docs.select("doc_id", "source", M.n_words().alias("size"))
+    assert {r.doc_id: r["size"] for r in sized.collect()} == {1: 2_000_000, 2: 1}
+    assert {r.source: r.target for r in M.targets(sized).collect()} == {"a": 1999998.0, "b": 3.0}
