@@ -21,11 +21,12 @@ def made(n, seed):
 
 
 def test_ftrl_learns_and_is_sparse():
-    train, held = made(900, 0), made(300, 1)
-    at, w, bias = X.fit([(t, y) for _, t, y in train])
+    rows, held, words = made(900, 0), made(300, 1), X.WordHash(strip=X.STRIP)
+    data = [(X.distinct(t, words), y) for _, t, y in rows]
+    order = [i for e in range(4) for i in np.random.default_rng(e).permutation(len(data))]
+    at, w, bias = X.train(data[i] for i in order)
     dense = np.zeros(1 << X.BITS)
     dense[at] = w
-    words = X.WordHash(strip=X.STRIP)
     p = [X.sigmoid(bias + dense[np.unique(X.coordinates(t, words))].sum()) >= 0.5 for _, t, _ in held]
     assert np.mean(np.array(p) == np.array([y for *_, y in held])) > 0.97
     assert len(at) < 2000
@@ -57,3 +58,30 @@ def test_no_labels(spark):
     for labels, want in (([], 0.0), ([(1, 1)], 1.0)):
         got = X.score(docs, X.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()
         assert all(abs(r.score - want) < 1e-9 for r in got)
+
+
+def test_of_repeated_rows_the_largest_text_is_learnt(spark):
+    rows = made(200, 4)
+    once = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    more = once.unionByName(once).unionByName(spark.createDataFrame([(i, None if i % 2 else "") for i, *_ in rows], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    a, b = X.learn(once, labels), X.learn(more, labels)
+    assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+
+
+def test_the_sample_is_bounded(spark):
+    rows = made(300, 5)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    some = labels.where(~X.in_fold(labels.doc_id)).orderBy(X.F.xxhash64("doc_id", X.F.lit(11)), "doc_id").limit(50)
+    a, b = X.learn(docs, labels, sample=50), X.learn(docs, some)
+    assert all(np.array_equal(x, y) for x, y in zip(a, b, strict=True))
+
+
+def test_empty_tables(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert X.score(none.drop("score"), X.learn(none, labels)).count() == 0
+    assert X.stage(spark, none, str(tmp_path)).columns == ["doc_id", "text", "score"]
+    assert X.stage(spark, none, str(tmp_path)).count() == 0
