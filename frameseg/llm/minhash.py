@@ -3,7 +3,8 @@ bit counts a collision-corrected similarity, and full shingle sets the decision.
 
 Defined results: a null or wordless text has an empty set (0 shingles) and is linked with nothing. Fewer words than
 a shingle has: the whole sequence is the one shingle. Rows that repeat a doc_id stand for one vertex. A null doc_id takes no part
-(component_id null, kept true). Equal sets are linked. Extra columns are ignored.
+(component_id null, kept true). Equal sets are linked. No documents: no rows. near_duplicates() reads doc_id and text alone; the stage passes
+every other column through, whatever its name.
 """
 
 from __future__ import annotations
@@ -13,16 +14,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, components, mix, slices, table
+from .common import Scratch, WordHash, aside, components, mix, restored, slices, table
 
 WORDS, BANDS, ROWS, BITS = 5, 32, 3, 2
 LEAST = 75  # per cent of the union
-#: A pair at the threshold is estimated 0.75 with a deviation of 0.053: one in a million comes out lower than this.
-PLAUSIBLE = 0.5
+#: A pair at the threshold is estimated 0.75 with a deviation of 0.053. By the binomial it comes out lower than this once in 6e7, and escapes all
+#: bands once in 4e7; more similar pairs less often.
+PLAUSIBLE = 0.42
 
 
 def shingles(text: str | None, words: WordHash, k: int = WORDS) -> np.ndarray:
@@ -95,28 +97,40 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in ("id", "c", "most")], pa.array(np.concatenate(sets).view(np.int64))], ["id", "c", "most", "s"])
 
 
-def _scarce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by s those of shingles with RARE rows at most, and that number as df. Of any other shingle no more rows are held."""
-    names = ["id", "c", "most", "s"]
+NAMES = ["id", "c", "most", "s"]
 
-    def few(x: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
-        n = np.diff(ends, prepend=0)
-        df = np.repeat(n, n)
-        ok = df <= RARE
-        return pa.RecordBatch.from_arrays([*[pa.array(c[ok]) for c in x[:, : len(df)]], pa.array(df[ok])], [*names, "df"])
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of rows sorted by s those of whole shingles, and how many there are of each one; of a shingle with more than RARE rows, RARE + 1."""
     held = np.empty((4, 0), np.int64)
     for b in batches:
-        x = np.concatenate([held, np.stack([b.column(c).to_numpy() for c in names])], axis=1)
+        x = np.concatenate([held, np.stack([b.column(c).to_numpy() for c in NAMES])], axis=1)
         if not x.shape[1]:
             continue
         ends = np.flatnonzero(np.diff(x[3])) + 1
+        nth = np.arange(x.shape[1]) - np.repeat(np.r_[0, ends], np.diff(np.r_[0, ends, x.shape[1]]))
+        last = x.shape[1] - (ends[-1] if len(ends) else 0)
+        whole = nth <= RARE
+        whole[x.shape[1] - last :] = False
         if len(ends):
-            yield few(x, ends)
-            x = x[:, ends[-1] :]
-        held = x[:, : RARE + 1]
+            yield x[:, whole], np.minimum(np.diff(ends, prepend=0), RARE + 1)
+        held = x[:, x.shape[1] - last :][:, : RARE + 1]
     if held.shape[1]:
-        yield few(held, np.array([held.shape[1]]))
+        yield held, np.array([held.shape[1]])
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Before the shuffle: no task sends more than RARE + 1 rows of a shingle, however many documents have it."""
+    for x, _ in _runs(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], NAMES)
+
+
+def _scarce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by s those of shingles with RARE rows at most, and that number as df."""
+    for x, n in _runs(batches):
+        df = np.repeat(n, n)
+        ok = df <= RARE
+        yield pa.RecordBatch.from_arrays([*[pa.array(c[ok]) for c in x], pa.array(df[ok])], [*NAMES, "df"])
 
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,14 +169,16 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Members of a bucket from which on rare shingles are looked at, and documents of a rare shingle at most.
 LARGE, RARE = 32, 16
+#: Members of a bucket that one task compares with the others, about.
+PART = 1024
 #: Parts into which the other shingles are counted: two documents have no more in common than the smaller counts' sum.
 TALLIES = 64
 #: Bits of the filter that keeps texts of candidates; its size bounds what is sent to each machine (16 MB).
 FILTER = 1 << 27
 
 
-def _candidates(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts whose doc_id is in ids: most others stop at a filter of fixed size before the shuffle."""
+def _candidates(tmp: Scratch, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts whose doc_id is in ids, saved: most others stop at a filter of fixed size before the shuffle."""
     spark = texts.sparkSession
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
     maps = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("bits"))
@@ -177,7 +193,21 @@ def _candidates(texts: DataFrame, ids: DataFrame) -> DataFrame:
             yield b.select(["doc_id", "text"]).filter(pa.array((sent.value[p >> 3] >> (p & 7) & 1).astype(bool)))
 
     some = texts.where("doc_id is not null").select("doc_id", "text", place.alias("p")).mapInArrow(run, "doc_id long, text string")
-    return some.join(ids.hint("merge"), "doc_id")
+    out = tmp.save(some.join(ids.hint("merge"), "doc_id").distinct(), "own")
+    sent.destroy()
+    return out
+
+
+def _merged(tmp: Scratch, known: DataFrame | None, links: DataFrame, name: str) -> DataFrame:
+    """(id, component_id) after more links: components that are known already are one vertex each."""
+    if known is None:
+        return components(tmp, links, name)
+    for x in ("a", "b"):
+        links = links.join(known.select(F.col("id").alias(x), F.col("component_id").alias(f"c{x}")), x, "left").withColumn(x, F.coalesce(f"c{x}", x)).drop(f"c{x}")
+    more = components(tmp, links.where("a <> b").select("a", "b"), name)
+    moved = known.join(more.select(F.col("id").alias("was"), F.col("component_id").alias("now")), F.col("component_id") == F.col("was"), "left")
+    alone = more.join(known.select("id"), "id", "left_anti")
+    return tmp.save(moved.select("id", F.coalesce("now", "component_id").alias("component_id")).unionByName(alone), f"{name}-known")
 
 
 def _large(at: DataFrame, own: DataFrame) -> DataFrame:
@@ -208,14 +238,17 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     lead = bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("last"), F.count("*").alias("size"), *[F.min(d)["id"].alias(f"lead{i}") for i, d in enumerate(draw, 1)])
     held = tmp.save(bands.join(lead.where("least < last").drop("least", "last"), "key"), "held")
     facts = reps.select(F.col("rep").alias("id"), "sig", "n", F.lit(None).cast("array<long>").alias("tally"))
-    own = tmp.save(_candidates(texts, held.select(F.col("id").alias("doc_id")).distinct()).distinct(), "own")
+    own = _candidates(tmp, texts, held.select(F.col("id").alias("doc_id")).distinct())
 
     def both(facts: DataFrame, i: str, x: str) -> DataFrame:
         return facts.select(F.col("id").alias(i), *[F.col(c).alias(c + x) for c in ("sig", "n", "tally")])
 
+    def total(tally: Column) -> Column:
+        return F.aggregate(tally, F.lit(0).cast("long"), lambda t, v: t + v)
+
     def possible():
         """By the estimate, and by the number of shingles that both can have."""
-        overlap = F.aggregate(F.zip_with("tally_a", "tally_b", lambda p, q: F.least(p, q)), F.lit(0).cast("long"), lambda t, v: t + v)
+        overlap = total(F.zip_with("tally_a", "tally_b", lambda p, q: F.least(p, q)))
         most = F.when(F.col("tally_a").isNotNull() & F.col("tally_b").isNotNull(), overlap).otherwise(F.least("n_a", "n_b"))
         return (similarity("sig_a", "sig_b") >= PLAUSIBLE) & (100 * most >= LEAST * (F.col("n_a") + F.col("n_b") - most))
 
@@ -236,20 +269,20 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     copies = some.join(reps.select("digest", "rep"), "digest").where("doc_id <> rep").select("doc_id", F.col("rep").alias("a"))
     several = copies.groupBy("doc_id").agg(F.min("a").alias("a"), F.max("a").alias("z"), F.collect_set("a").alias("reps")).where("a < z").select("a", F.explode("reps").alias("b")).where("a <> b")
     itself = copies.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("a", F.col("doc_id").alias("b"))
-    same = tmp.save(several.unionByName(itself), "same")
-    links = tmp.save(confirmed(first), "links1").unionByName(same)
-    known = components(tmp, links, "cc1")
+    known = _merged(tmp, None, tmp.save(confirmed(first).unionByName(several).unionByName(itself), "links1"), "cc1")
 
     def spanning() -> DataFrame:
-        """Members of buckets that span components, with their component c and the bucket's smallest one, lo."""
+        """Members of buckets that span components, with their component c and the bucket's most frequent one, main."""
         at = held.join(known, "id", "left").withColumn("c", F.coalesce("component_id", "id")).drop("component_id")
-        return at.join(at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key", "lo"), "key")
+        per = at.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("parts"))
+        return at.join(per.where("parts > 1").select("key", "main"), "key")
 
     at = tmp.save(spanning(), "at")
-    inside = _large(at, own)
+    inside = tmp.save(_large(at, own), "inside")
     # a shingle is rare for a document if it has few documents, and far fewer than the document's largest bucket
-    rows = inside.mapInArrow(_listed, "id long, c long, most long, s long").repartition("s").sortWithinPartitions("s")
-    few = tmp.save(rows.mapInArrow(_scarce, "id long, c long, most long, s long, df long"), "few")
+    rows = "id long, c long, most long, s long"
+    listed = inside.mapInArrow(_listed, rows).sortWithinPartitions("s").mapInArrow(_combined, rows).repartition("s").sortWithinPartitions("s")
+    few = tmp.save(listed.mapInArrow(_scarce, rows + ", df long"), "few")
     rare = few.where("df <= most")
     part = F.pmod(F.col("s"), F.lit(TALLIES)).cast("int")  # the hash's low bits, signed or not
     less = rare.groupBy("id", part.alias("p")).agg(F.count("*").alias("k")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("p", "k"))).alias("less"))
@@ -258,27 +291,30 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     plain, facts = facts, tmp.save(facts.drop("tally").join(tally, "id", "left"), "facts")
     by_rare = rare.where("df > 1").select("s", "id", "c").join(few.select("s", F.col("id").alias("other"), F.col("c").alias("co")), "s").where("c <> co")
     by_rare = tmp.save(estimated(by_rare.select("id", "other").distinct(), plain).select("a", "b").distinct(), "rare")
+    tmp.drop("inside", "few")
     second = at.select("id", "c", F.explode(F.array("lead1", "lead2")).alias("other")).where("id <> other").distinct()
     label = known.select(F.col("id").alias("other"), F.col("component_id").alias("co"))
     second = second.join(label, "other", "left").where("c <> coalesce(co, other)").select("id", "other")
     second = tmp.save(estimated(second, facts).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs2")
     if not second.isEmpty():
-        links = links.unionByName(tmp.save(confirmed(second), "links2"))
-        known = components(tmp, links, "cc2")
-
-    at = tmp.save(spanning().select("key", "id", "c", "lo"), "spanning")
-    x = at.where("c <> lo").select("key", F.col("id").alias("i"), F.col("c").alias("ci")).join(both(facts, "i", "_a"), "i")
-    y = at.select("key", F.col("id").alias("j"), F.col("c").alias("cj"), "lo").join(both(facts, "j", "_b"), "j")
-    third = x.join(y, (x.key == y.key) & (x.ci != y.cj) & ((y.cj == y.lo) | (x.i < y.j)) & possible())
-    third = third.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    third = third.unionByName(by_rare).distinct()
+        known = _merged(tmp, known, tmp.save(confirmed(second), "links2"), "cc2")
+
+    # pairs of a bucket's members from different components, but for those inside its main one. Where all members are tallied, one
+    # whose tallied shingles are under LEAST per cent can only be linked by a rare shingle
+    at = tmp.save(spanning().select("key", "id", "c", "main").join(facts, "id"), "spanning")
+    per = at.groupBy("key").agg(F.bool_and(F.col("tally").isNotNull()).alias("all"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    at = at.join(per, "key").where(~(F.col("all") & (100 * total(F.col("tally")) < LEAST * F.col("n"))))
+    side = lambda i, x: [F.col(c).alias(c + x) for c in ("c", "sig", "n", "tally")] + [F.col("id").alias(i)]
+    x = at.where("c <> main").select("key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), *side("i", "_a"))
+    y = at.select("key", "main", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *side("j", "_b"))
+    third = x.join(y, (x.key == y.key) & (x.part == y.part) & (x.c_a != y.c_b) & ((y.c_b == y.main) | (x.i < y.j)) & possible())
+    third = third.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).unionByName(by_rare).distinct()
     third = tmp.save(third.join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs3")
     if not third.isEmpty():
-        links = links.unionByName(tmp.save(confirmed(third), "links3"))
-        known = components(tmp, links, "cc3")
+        known = _merged(tmp, known, tmp.save(confirmed(third), "links3"), "cc3")
     rep = reps.select("digest", "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sets.join(rep, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = sets.join(rep, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return tmp.only(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,12 +322,17 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: one document of each group stays, and one row of it."""
-    found = Scratch(spark, "kept").save(near_duplicates(docs), "found")
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    rest = docs.join(gone, docs.doc_id == gone.gone, "left_anti")
-    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
-    if repeated.isEmpty():
-        return rest
-    rest = rest.join(repeated, rest.doc_id == repeated.again, "left")
-    return rest.where("again is null").unionByName(rest.where("again is not null").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """Pipeline: one document of each group stays, and one row of it. If rows of its doc_id differ, that of the smallest text (by code points,
+    null last) stays and, among equal texts, that of the smallest hash of its columns; other texts under that doc_id are lost."""
+    found, used = near_duplicates(docs), ("doc_id", "text")
+    named = aside(docs, *used)
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    rest = named.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeated = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    if not repeated.isEmpty():
+        rest = rest.join(repeated, F.col("doc_id") == F.col("_again"), "left")
+        row = F.struct(*named.columns)
+        order = F.struct(F.col("text").isNull(), F.col("text"), F.xxhash64(F.to_json(row)))
+        one = rest.where("_again is not null").groupBy("_again").agg(F.min_by(row, order).alias("_row")).select("_row.*")
+        rest = rest.where("_again is null").select(*named.columns).unionByName(one)
+    return restored(rest, docs, *used)

@@ -100,3 +100,55 @@ def test_stage_keeps_one_row_of_each_group(spark):
     got = M.stage(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 1, 3]
+
+
+def template(seed, n=110):
+    """Documents of one template with more or less text of their own, near copies of some, and a shingle that all have."""
+    rng = np.random.default_rng(seed)
+    base, rows = [f"t{k}" for k in range(120)], []
+    for i in range(n):
+        if rows and rng.random() < 0.3:
+            w = rows[int(rng.integers(len(rows)))][1].split(" ")
+            w[int(rng.integers(len(w)))] = f"x{i}"
+        else:
+            w = base + [f"d{i}w{k}" for k in range(int(120 * rng.choice([0.1, 0.18, 0.2, 0.3, 0.5])))]
+        rows.append((1000 - i * 3, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("part", [1024, 7])
+def test_a_template_of_many_documents(spark, monkeypatch, part):
+    monkeypatch.setattr(M, "PART", part)
+    rows = template(part) + [(5, template(part)[0][1] + " z z")]
+    want = brute(rows)
+    assert len(set(want.values())) > 20
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_shingles_are_combined_before_the_shuffle():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    s = np.sort(np.concatenate([np.repeat(7, 500), rng.integers(8, 60, 300), np.repeat(90, M.RARE), np.repeat(91, M.RARE + 1)]))
+    x = np.stack([np.arange(len(s)), s, s, s])
+
+    def batches(size):
+        for i in range(0, len(s), size):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in x], M.NAMES)
+
+    n = {int(k): int((s == k).sum()) for k in np.unique(s)}
+    for size in (1, 5, 64, 10_000):
+        sent = np.concatenate([b.column("s").to_numpy() for b in M._combined(batches(size))])
+        assert {int(k): int((sent == k).sum()) for k in np.unique(sent)} == {k: min(v, M.RARE + 1) for k, v in n.items()}
+        few = [(a, b) for f in M._scarce(batches(size)) for a, b in zip(f.column("s").to_pylist(), f.column("df").to_pylist(), strict=True)]
+        assert sorted(few) == sorted((k, v) for k, v in n.items() if v <= M.RARE for _ in range(v))
+
+
+def test_stage_with_clashing_columns_and_different_texts_of_one_id(spark):
+    t = " ".join(f"t{i}" for i in range(30))
+    rows = [(1, t, "b", 1), (1, "zz other", "a", 2), (2, t, None, 3), (7, None, "q", 4), (7, "", "r", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, again string, gone int")
+    got = M.stage(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(1, t, "b", 1), (7, "", "r", 5)]
