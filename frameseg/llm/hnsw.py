@@ -4,7 +4,10 @@ audit against brute force passes, cosines are verified in double precision, link
 Only rows with the same not-null label and the same length are compared. A vector that is null, zero or holds a null or non-finite
 component is linked with nothing, as is one without a label: n_links 0, its own component. Equal vectors collapse to the smallest
 vec_id before the graphs are built and count as links of one another; rows that repeat a vec_id and its vector count once.
-Extra columns are ignored. A null vec_id is a vector of its own with a null component, kept.
+Extra columns are ignored. A null vec_id is a vector of its own with a null component, kept. No vectors: no rows.
+
+A task holds a shard's graph and a block of queries, and takes the queries slice by slice: pairs of a slice turn into counts and
+into a union-find over the task's vectors and are dropped, so that a group of near copies costs time but no memory.
 """
 
 from __future__ import annotations
@@ -20,12 +23,16 @@ from .common import Scratch, components, table
 LEAST = 0.98
 #: Links of a node (twice as many on the ground level), beam while building, first beam of a query.
 M, EF_BUILD, EF_QUERY, EF_MOST = 12, 32, 16, 512
-#: Vectors in a shard and queries in a block at most, about; both bound a task's memory.
-SHARD, BLOCK = 65_536, 16_384
+#: Vectors in a shard, queries in a block (both about) and queries in a slice at most; they bound a task's memory.
+SHARD, BLOCK, SLICE = 16_384, 4_096, 128
+#: Tasks that a stage is dealt to at most.
+MOST_TASKS = 20_000
 #: Queries of each task that are audited, the share of their neighbours that must be found, and how many neighbours each has at least.
 AUDIT, RECALL, NEAREST = 128, 0.9999, 10
 #: A beam costs about as much as a scan of this many nodes for each unit of its width.
 SCAN = 1000
+#: With links and neighbours of more than one in so many of a shard's nodes, it is scanned.
+DENSE = 50
 #: Cosines in single precision are taken for candidates from this much below the threshold.
 SLACK = 1e-4
 
@@ -208,9 +215,9 @@ class Hnsw:
         return cls(z["x"], z["levels"], [z[f"l{i}"] for i in range(len(z.files) - 3)], z["order"])
 
 
-def near_pairs(g: Hnsw, q: np.ndarray, own: np.ndarray, least: float, audit: int = AUDIT, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs from `least` on; the beam doubles until the audited queries miss nothing. The shard is scanned as a whole if no beam suffices or
-    the one that does was widened and costs more.
+def beam_for(g: Hnsw, q: np.ndarray, own: np.ndarray, least: float, audit: int = AUDIT, recall: float = RECALL) -> int:
+    """The beam at which the audit passes, doubled until it does; 0 if the shard is better scanned as a whole: no beam suffices, the one that
+    does was widened and costs more, or links are so many that a scan is cheaper than to follow them.
 
     Audited are a query's links and, as most have none, its NEAREST nodes whatever their cosine; its own node, an entry of the beam, is no evidence.
     """
@@ -222,16 +229,53 @@ def near_pairs(g: Hnsw, q: np.ndarray, own: np.ndarray, least: float, audit: int
     k = min(NEAREST, n - 1)
     low = np.minimum(np.partition(s, n - k, axis=1)[:, n - k], np.float32(least)) if k else np.full(len(tried), least, np.float32)
     truth = set(zip(*map(np.ndarray.tolist, np.nonzero(s >= low[:, None])), strict=True))
+    if len(truth) * DENSE >= n * len(tried):
+        return 0
     while truth and ef <= min(n, EF_MOST):
         a, b = g.near(q[tried], low - np.float32(SLACK), ef, own[tried])  # cosines differ in the last digits by how they are summed
         if len(truth & set(zip(a.tolist(), b.tolist(), strict=True))) >= recall * len(truth):
-            if ef > EF_QUERY and ef * SCAN >= n:
-                break
-            rest = [g.near(q[i : i + 256], least, ef, own[i : i + 256]) for i in range(0, len(q), 256)]
-            return np.concatenate([r[0] + 256 * i for i, r in enumerate(rest)]), np.concatenate([r[1] for r in rest])
+            return 0 if ef > EF_QUERY and ef * SCAN >= n else ef
         ef *= 2
-    rest = [np.nonzero(q[i : i + 256] @ g.x.T >= least) for i in range(0, len(q), 256)]
-    return np.concatenate([r[0] + 256 * i for i, r in enumerate(rest)]), np.concatenate([r[1] for r in rest])
+    return 0
+
+
+def near_pairs(g: Hnsw, q: np.ndarray, own: np.ndarray, least: float, step: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, node) from `least` on, slice by slice of the queries."""
+    ef = beam_for(g, q, own, least)
+    for i in range(0, len(q), step):
+        part = slice(i, i + step)
+        a, b = g.near(q[part], least, ef, own[part]) if ef else np.nonzero(q[part] @ g.x.T >= least)
+        yield a + i, b
+
+
+class Union:
+    """Components of 0 .. n-1, each known by its smallest member."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = self.root[a], self.root[b]
+        while (differ := a != b).any():
+            pair = np.unique(np.minimum(a[differ], b[differ]) * len(self.root) + np.maximum(a[differ], b[differ]))
+            low, high = pair // len(self.root), pair % len(self.root)
+            np.minimum.at(self.root, high, low)
+            while (further := self.root[self.root] != self.root).any():
+                self.root[further] = self.root[self.root[further]]
+            a, b = self.root[low], self.root[high]
+
+
+def cosines(x: np.ndarray, norm_x: np.ndarray, y: np.ndarray, norm_y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of x[a] and y[b] in double precision; by one product of matrices where a slice's pairs are dense."""
+    out = np.empty(len(a))
+    if len(a):
+        low, high = a.min(), a.max() + 1
+        if 10 * len(a) >= (high - low) * len(y):
+            return (x[low:high] @ y.T)[a - low, b] / (norm_x[a] * norm_y[b])
+    for i in range(0, len(a), 50_000):
+        s, t = a[i : i + 50_000], b[i : i + 50_000]
+        out[i : i + 50_000] = (x[s] * y[t]).sum(1) / (norm_x[s] * norm_y[t])
+    return out
 
 
 def _stack(column) -> np.ndarray:
@@ -260,36 +304,28 @@ def _query(least: float):
             return pd.DataFrame({"id": [], "links": [], "other": []}).astype("int64")
         row = graphs.iloc[0]
         g, ids, copies = Hnsw.unpacked(row.graph), np.frombuffer(row.ids, np.int64), np.frombuffer(row.copies, np.int64)
-        raw = np.frombuffer(row.raw, np.float32).reshape(len(ids), -1)
+        raw = np.frombuffer(row.raw, np.float32).reshape(len(ids), -1).astype(np.float64)
         q, x = queries.id.to_numpy(np.int64), _stack(queries.embedding).astype(np.float64)
         node = np.empty(len(ids), np.int64)
         node[g.order] = np.arange(len(ids))
         place = np.minimum(np.searchsorted(ids, q), len(ids) - 1)
         own = np.where(ids[place] == q, node[place], -1)
-        a, b = near_pairs(g, unit(x), own, least - SLACK)
-        b = g.order[b]
-        ok = ids[b] != q[a]
-        a, b = a[ok], b[ok]
-        norm_x, norm_raw, ok = np.linalg.norm(x, axis=1), np.linalg.norm(raw.astype(np.float64), axis=1), np.empty(len(a), bool)
-        for i in range(0, len(a), 50_000):
-            s, t = a[i : i + 50_000], b[i : i + 50_000]
-            ok[i : i + 50_000] = (x[s] * raw[t].astype(np.float64)).sum(1) / (norm_x[s] * norm_raw[t]) >= least
-        a, b = a[ok], b[ok]
-        links = np.bincount(a, copies[b], len(q)).astype(np.int64)
         every = np.union1d(q, ids)
-        ea, eb, label = np.searchsorted(every, q[a]), np.searchsorted(every, ids[b]), np.arange(len(every))
-        while True:
-            new = label.copy()
-            np.minimum.at(new, ea, label[eb])
-            np.minimum.at(new, eb, label[ea])
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        mine = label[np.searchsorted(every, q)]
-        out = pd.DataFrame({"id": q, "links": links, "other": every[mine]})
-        only = np.setdiff1d(np.flatnonzero(label != np.arange(len(every))), np.searchsorted(every, q))
-        return pd.concat([out, pd.DataFrame({"id": every[only], "links": 0, "other": every[label[only]]})])
+        at_q, at_ids, united, links = np.searchsorted(every, q), np.searchsorted(every, ids), Union(len(every)), np.zeros(len(q), np.int64)
+        norm_x, norm_raw = np.linalg.norm(x, axis=1), np.linalg.norm(raw, axis=1)
+        # single precision errs by far less than SLACK, or by so much for so many components
+        slack = max(SLACK, 2.5e-7 * x.shape[1])
+        for a, b in near_pairs(g, unit(x), own, least - slack):
+            b = g.order[b]
+            ok = ids[b] != q[a]
+            a, b = a[ok], b[ok]
+            ok = cosines(x, norm_x, raw, norm_raw, a, b) >= least
+            a, b = a[ok], b[ok]
+            links += np.bincount(a, copies[b], len(q)).astype(np.int64)
+            united.add(at_q[a], at_ids[b])
+        out = pd.DataFrame({"id": q, "links": links, "other": every[united.root[at_q]]})
+        only = np.setdiff1d(np.flatnonzero(united.root != np.arange(len(every))), at_q)
+        return pd.concat([out, pd.DataFrame({"id": every[only], "links": 0, "other": every[united.root[only]]})])
 
     return run
 
@@ -309,21 +345,28 @@ def embedding_dedup(vectors: DataFrame, least: float = LEAST, shard: int = SHARD
     nodes = tmp.save(once.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.max("vec_id").alias("last")), "nodes")
     nodes = nodes.withColumn("dim", F.size("embedding"))
     sizes = nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    sizes = tmp.save(sizes, "sizes")
+    # a task for each pair of shard and block, or nearly
+    tasks = sizes.agg(F.sum(F.col("shards") * F.col("blocks")).alias("pairs"), F.sum("shards").alias("shards")).first()
+    spread = lambda n: int(min(MOST_TASKS, max(1, 2 * (n or 0))))
     nodes = nodes.join(sizes, ["label", "dim"])
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
-    graphs = tmp.save(dealt.groupBy("label", "dim", "shard").applyInPandas(_build, f"label {vectors.schema['label'].dataType.simpleString()}, dim int, shard int, graph binary, ids binary, copies binary, raw binary"), "graphs")
+    graphs = tmp.save(dealt.repartition(spread(tasks.shards), "label", "dim", "shard").groupBy("label", "dim", "shard").applyInPandas(_build, f"label {vectors.schema['label'].dataType.simpleString()}, dim int, shard int, graph binary, ids binary, copies binary, raw binary"), "graphs")
     graphs = graphs.join(sizes, ["label", "dim"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     queries = nodes.withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     key = ["label", "dim", "shard", "block"]
-    found = graphs.select(*key, "graph", "ids", "copies", "raw").groupBy(*key).cogroup(queries.select(*key, "id", "embedding").groupBy(*key)).applyInPandas(_query(least), FOUND)
+    n = spread(tasks.pairs)
+    found = graphs.select(*key, "graph", "ids", "copies", "raw").repartition(n, *key).groupBy(*key).cogroup(queries.select(*key, "id", "embedding").repartition(n, *key).groupBy(*key)).applyInPandas(_query(least), FOUND)
     found = tmp.save(found, "found")
+    tmp.drop("graphs")
     degree = found.groupBy("id").agg(F.sum("links").alias("links"))
     united = components(tmp, found.where("other <> id").select(F.col("id").alias("a"), F.col("other").alias("b")))
     known = nodes.select("label", "embedding", "id", "copies").join(degree, "id", "left").join(united, "id", "left")
     known = known.select(F.col("label").alias("_l"), F.col("embedding").alias("_e"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component_id", "id").alias("c"))
     out = v.withColumn("_part", part)
     out = out.join(known, F.col("_part") & (out.label == known["_l"]) & (out.embedding == known["_e"]), "left")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
+    return tmp.only(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "result")
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
