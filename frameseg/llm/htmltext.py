@@ -7,13 +7,18 @@ head, controls and comments of the markup never become text. Character reference
 becomes one space, blocks are trimmed and joined in page order by one space.
 
 Null or empty html, or a page without article: text '' and n_chars 0. Rows that repeat a page are read each by itself. A block's path is
-described by its outermost and innermost DEPTH elements; text is never cut.
+described by its outermost and innermost DEPTH elements; text is never cut. Reading takes time in proportion to a page's length, whatever
+its markup. Other columns of pages are ignored. No pages: no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
+import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -23,36 +28,137 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import shared_dir, slices, table
 
 DEPTH, PATHS, WORDS, DIM_PATH, DIM_WORD, SHAPE, HIDDEN = 24, 1024, 1024, 16, 6, 6, 16
-PAGES, EPOCHS, BATCH, RATE, SEED = 700, 7, 32, 0.01, 17
+PAGES, EPOCHS, BATCH, RATE, DECAY, SEED = 1500, 8, 32, 0.01, 0.3, 17
 
 #: Fixed values of HTML.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 UNREAD = frozenset("head script style noscript template svg math object canvas select button textarea iframe audio video title option datalist".split())
+ALIKE = {t: group for group in (("li",), ("dt", "dd"), ("tr",), ("td", "th"), ("option",)) for t in group}
 CLOSES_ITSELF = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select", "datalist")}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[^<]++|<""", re.S)
+#: A tag whose quoted attributes are closed, and one that ends at the next '>' whatever quotes are open.
+STRICT = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]++|"[^"]*+"|'[^']*+')*+)>""")
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+#: Characters that failed attempts at tags with open quotes may scan, in lengths of the page; beyond, quotes are no longer trusted.
+PATIENCE = 16
+
+
+def marks(tag: str, attributes: str) -> tuple[int, ...]:
+    """Places in the path table of an element: its tag, and the words of its class, id and role."""
+    return _marks(tag, attributes) if len(attributes) <= 400 else _marks.__wrapped__(tag, attributes)
+
+
 @lru_cache(maxsize=20_000)
 def _marks(tag: str, attributes: str) -> tuple[int, ...]:
-    """Places in the path table of an element: its tag, and the words of its class, id and role."""
     words = {f"<{tag}"}
     for m in ATTRIBUTE.finditer(attributes):
         words.update(re.findall(r"[a-z]{2,}", (m[2] or m[3] or m[4] or "").lower()))
     return tuple(sorted(zlib.crc32(w.encode()) % PATHS for w in words))
 
 
+def tokens(html: str) -> Iterator[tuple[str, bool, str, int]]:
+    """Text pieces as ("", False, text, 0), tags as (name, whether it ends, attributes, where it is over); send() a place to go on from there.
+
+    Time is linear in the page's length: a '<' after the last '>' is text without a try, and tries that run to the page's end over open
+    quotes are counted.
+    """
+    at, last, patience = 0, html.rfind(">"), PATIENCE * len(html)
+    while at < len(html):
+        lt = html.find("<", at)
+        if lt != at:
+            yield "", False, html[at:] if lt < 0 else html[at:lt], 0
+            if lt < 0:
+                return
+            at = lt
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            at = len(html) if end < 0 else end + 3
+        elif at > last:
+            yield "", False, html[at:], 0
+            return
+        elif html[at + 1] in "!?":
+            at = html.index(">", at) + 1
+        else:
+            m = STRICT.match(html, at) if patience > 0 else None
+            if not m and (m := LOOSE.match(html, at)):
+                patience -= len(html) - at
+            if not m:
+                yield "", False, "<", 0
+                at += 1
+                continue
+            at = m.end()
+            to = yield m[2].lower(), bool(m[1]), m[3], at
+            if to is not None:
+                at = to
+                yield "", False, "", 0
+
+
+class Open:
+    """The open elements, with the places of each name and of blocks, so that no tag makes a walk over all of them."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple[int, ...]]] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.unread = self.links = 0
+
+    def push(self, tag: str, attributes: str) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, marks(tag, attributes)))
+        self.unread += tag in UNREAD
+        self.links += tag == "a"
+
+    def pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            tag = self.stack.pop()[0]
+            self.at[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            self.unread -= tag in UNREAD
+            self.links -= tag == "a"
+
+    def last(self, *tags: str) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def end(self, tag: str) -> None:
+        k = self.last(tag)
+        # an inline end tag doesn't leave its block
+        if k >= 0 and (tag in BLOCKS or tag in UNREAD or not self.blocks or k > self.blocks[-1]):
+            self.pop(k)
+
+    def start(self, tag: str) -> None:
+        """What a block's start tag closes."""
+        if tag not in CLOSES_ITSELF:
+            if self.blocks and self.stack[self.blocks[-1]][0] == "p":
+                self.pop(self.blocks[-1])
+            return
+        limit, same = self.last(*CLOSES_ITSELF[tag]), self.last(*ALIKE[tag])
+        if same > limit:
+            self.pop(same)
+        else:
+            ps = self.at.get("p", [])
+            if (k := bisect_right(ps, limit)) < len(ps):
+                self.pop(ps[k])
+
+    def path(self) -> list[int]:
+        near = self.stack if len(self.stack) <= 2 * DEPTH else self.stack[:DEPTH] + self.stack[-DEPTH:]
+        return [i for _, found in near for i in found]
+
+
 def blocks(html: str) -> list[tuple[str, list[int], float]]:
     """Text, path and share of linked characters of each block, in page order."""
     out: list[tuple[str, list[int], float]] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
-    parts, linked, path, unread, links = [], 0, None, 0, 0
+    parts, linked, path, inside = [], 0, None, Open()
 
     def cut():
         nonlocal parts, linked, path
@@ -62,61 +168,32 @@ def blocks(html: str) -> list[tuple[str, list[int], float]]:
                 out.append((text, path, linked / max(1, sum(map(len, parts)))))
             parts, linked, path = [], 0, None
 
-    def pop(to: int):
-        nonlocal unread, links
-        for tag, _ in stack[to:]:
-            unread -= tag in UNREAD
-            links -= tag == "a"
-        del stack[to:]
-
-    at = 0
-    while m := TOKEN.match(html, at):
-        at = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
-            s = m[0]
-            if s[0] != "<" or s == "<":
-                if not unread:
-                    if path is None and not s.isspace():
-                        near = stack if len(stack) <= 2 * DEPTH else stack[:DEPTH] + stack[-DEPTH:]
-                        path = [i for _, marks in near for i in marks]
-                    s = unescape(s) if "&" in s else s
-                    parts.append(s)
-                    linked += len(s) if links else 0
+    found = tokens(html)
+    for tag, end, rest, at in found:
+        if not tag:
+            if rest and not inside.unread:
+                if path is None and not rest.isspace():
+                    path = inside.path()
+                rest = unescape(rest) if "&" in rest else rest
+                parts.append(rest)
+                linked += len(rest) if inside.links else 0
             continue
-        tag, end, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if tag in BLOCKS or tag == "head":
             cut()
         if end:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
-                if stack[k][0] in BLOCKS and tag not in BLOCKS and tag not in UNREAD:  # an inline end tag doesn't leave its block
-                    break
+            inside.end(tag)
             continue
         if tag == "br":
             parts.append(" ")
         if tag in BLOCKS:
-            inside = CLOSES_ITSELF.get(tag)
-            for k in range(len(stack) - 1, -1, -1):
-                t = stack[k][0]
-                if t == "p" or inside and (t == tag or tag in ("dt", "dd") and t in ("dt", "dd") or tag in ("td", "th") and t in ("td", "th")):
-                    pop(k)
-                    if t == "p" and inside:
-                        continue
-                    break
-                if t in BLOCKS and not (inside and t not in inside):
-                    break
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
+            inside.start(tag)
+        if tag in VOID or rest.endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
-            at = close.end() if close else len(html)
+            found.send(close.end() if close else len(html))
             continue
-        stack.append((tag, _marks(tag, attributes)))
-        unread += tag in UNREAD
-        links += tag == "a"
+        inside.push(tag, rest)
     cut()
     return out
 
@@ -253,6 +330,7 @@ def _padded(rows: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarra
 
 #: Words that sites use for their parts; fixed values.
 ARTICLE = "article content post entry story main body text news page blog detail".split()
+AROUND = "page wrapper container layout site row grid columns col inner outer wrap root app"
 PARTS = {
     "nav": "nav menu navigation navbar breadcrumb breadcrumbs topbar links",
     "header": "header masthead branding logo site top",
@@ -324,36 +402,50 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[str], list[str]]:
 
     def paragraph() -> str:
         k = rng.random()
-        if k < 0.72:
+        if k < 0.68:
             body = text(good, sentences(rng.integers(1, 10)))
             return f"<p>{body}" + ("</p>" if rng.random() > 0.3 * (wrong < 0.4) else "")
-        if k < 0.80:
+        if k < 0.76:
             return f"<p><b>{text(good, sentences(rng.integers(1, 5)))}<br><p>{text(good, sentences(rng.integers(1, 5)))}</p>"
-        if k < 0.88:
+        if k < 0.84:
             return f"<h2>{text(good, words(2, 9))}</h2>"
         if k < 0.92:
-            return "<ul>" + "".join(f"<li>{text(good, sentences(1))}</li>" for _ in range(rng.integers(2, 6))) + "</ul>"
+            tag = rng.choice(["ul", "ol"])
+            return f"<{tag}>" + "".join(f"<li>{text(good, sentences(1))}</li>" for _ in range(rng.integers(2, 6))) + f"</{tag}>"
         if k < 0.95:
             return f"<blockquote>{text(good, sentences(rng.integers(1, 4)))}</blockquote>"
-        return f"<table><tr><td>{text(good, words(1, 5))}</td><td>{text(good, words(1, 5))}</td></tr></table>"
+        if k < 0.965:
+            return f"<pre>{text(good, words(2, 12))}</pre>"
+        if k < 0.98:
+            return "<dl>" + "".join(f"<dt>{text(good, words(1, 4))}</dt><dd>{text(good, sentences(1))}</dd>" for _ in range(rng.integers(1, 5))) + "</dl>"
+        head = f"<tr><th>{text(good, words(1, 3))}</th><th>{text(good, words(1, 3))}</th></tr>" if rng.random() < 0.5 else ""
+        return f"<table>{head}" + "".join(f"<tr><td>{text(good, words(1, 5))}</td><td>{text(good, words(1, 5))}</td></tr>" for _ in range(rng.integers(1, 5))) + "</table>"
 
     out.append(f'<!DOCTYPE html><html><head><title>{words(2, 9)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>')
+    def around() -> str:
+        """Elements that hold article and other parts alike."""
+        k = rng.random()
+        return "" if k < 0.6 else "".join(f'<div {rng.choice(["class", "id"])}="{name}">' for name in rng.choice(AROUND.split(), 1 if k < 0.85 else 2))
+
     before = [k for k in ("notice", "header", "nav", "nav", "ad", "form", "aside", "share") if rng.random() < 0.4]
-    out += ["<!-- x -->" + part(k) for k in before]
+    rng.shuffle(before)
+    outer = around()
+    place = int(rng.integers(0, len(before) + 1))
+    out += ["<!-- x -->" + part(k) for k in before[:place]] + [outer] + [part(k) for k in before[place:]]
     tag = rng.choice(["article", "article", "main", "div", "section"])
-    wrap = rng.choice(["", "", "<div class=wrapper>", '<div id="container"><div class="row">'])
+    wrap = around()
     out.append(wrap + f"<{tag}{attributes('article', 0.7 if tag in ('article', 'main') else 0.0)}>")
     if rng.random() < 0.8:
         out.append(f"<h1>{text(good, words(2, 12))}</h1>")
     for _ in range(rng.integers(1, 15)):
         out.append(paragraph())
-        if rng.random() < 0.05:
-            out.append(part(rng.choice(["ad", "share", "aside", "notice"])))
+        if rng.random() < 0.12:
+            out.append(part(rng.choice(["ad", "ad", "share", "aside", "notice"])))
     if rng.random() < 0.15:
         out.append(part("comments"))
     out.append(f"</{tag}>")
     out += [part(k) for k in ("share", "comments", "aside", "ad", "form", "nav", "notice", "footer") if rng.random() < 0.35]
-    out.append("</div>" * wrap.count("<div"))
+    out.append("</div>" * (wrap + outer).count("<div"))
     if wrong > 0.2:
         out.append("</body></html>")
     return "".join(out), good, bad
@@ -400,7 +492,7 @@ def trained(pages: int = PAGES, epochs: int = EPOCHS) -> Labeller:
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
-                model.w[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                model.w[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) + rate * DECAY * model.w[k]).astype(np.float32)
     return model
 
 
@@ -409,9 +501,26 @@ def main_texts(htmls: list[str | None], model: Labeller) -> list[str]:
     return [" ".join(b[0] for b, ok in zip(page, keep, strict=True) if ok) for page, keep in zip(pages, model.label(pages), strict=True)]
 
 
+def weights(spark: SparkSession) -> dict[str, np.ndarray]:
+    """Of the trained labeller; kept in the shared folder under a name made of this file's content, so that other drivers needn't train."""
+    with open(__file__, "rb") as f:
+        name = f"{shared_dir(spark)}/htmltext-{hashlib.sha1(f.read()).hexdigest()[:16]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(name).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path(name)):
+        whole, draft = io.BytesIO(), f"{name}-{uuid.uuid4().hex}"
+        np.savez(whole, **trained().w)
+        spark.createDataFrame([(bytearray(whole.getvalue()),)], "weights binary").coalesce(1).write.parquet(draft)
+        if not store.rename(path(draft), path(name)) or store.exists(path(f"{name}/{draft.rpartition('/')[2]}")):
+            store.delete(path(draft), True)  # another driver was first
+    stored = spark.read.schema("weights binary").parquet(name).first()
+    with np.load(io.BytesIO(stored.weights)) as z:
+        return {k: z[k] for k in z.files}
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of pages(page_id, url, html)."""
-    sent = pages.sparkSession.sparkContext.broadcast(trained().w)  # some 100 KB, whatever the input
+    sent = pages.sparkSession.sparkContext.broadcast(weights(pages.sparkSession))  # some 150 KB, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Labeller(sent.value)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from frameseg.llm import htmltext as X
+from tests.llm.handpages import FRESH, PAGES
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +21,57 @@ def test_blocks():
     assert [b[0] for b in X.blocks("<table><tr><td>1<td>2<tr><th>3</table></b></p>4")] == ["1", "2", "3", "4"]
 
 
+M = 1_000_000
+HOSTILE = {
+    "end tags that close nothing": "<b>" * (M // 7) + "</i>" * (M // 7),
+    "open quotes": '<a b="' * (M // 6),
+    "quotes that hide the end": '<i ">"' * (M // 6),
+    "either quote": ("<a \"" + "'>") * (M // 7),
+    "no end of a tag": "<" * M,
+    "declarations": "<!" * (M // 2),
+    "items in blocks": "<div>" * (M // 10) + "<li></li>" * (M // 18),
+    "inline tags across a block": "<b><div>" + "<i>" * (M // 7) + "</b>" * (M // 8),
+    "paragraphs": "<p>" * (M // 3),
+    "cells": "<table><tr><td>" + "<p><div>" * (M // 16) + "<td>" * (M // 8),
+    "references": "&#x" * (M // 3),
+    "attributes": "<p " + 'class="' * (M // 7) + ">",
+    "depth": "<div>" * (M // 5) + "x",
+    "raw text": "<textarea></textarea>" * (M // 20),
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_is_linear(name):
+    import time
+
+    began = time.process_time()
+    X.blocks(HOSTILE[name])
+    assert time.process_time() - began < 2
+
+
+def test_pages_by_hand(model):
+    for name, html, want in PAGES + FRESH:
+        assert X.main_texts([html], model) == [want], name
+
+
+def test_pages_of_the_tables(model):
+    """The text of every page of the test tables is that of its article element."""
+    import re
+
+    import pyarrow.parquet as pq
+
+    htmls = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist()
+    found = [re.search(r"<article>(.*?)</article>", h or "", re.S) for h in htmls]
+    assert X.main_texts(htmls, model) == [" ".join(b[0] for b in X.blocks(m[1])) if m else "" for m in found]
+
+
+def test_weights_are_kept(spark, model, monkeypatch):
+    first = X.weights(spark)
+    monkeypatch.setattr(X, "trained", None)
+    again = X.weights(spark)
+    assert first.keys() == again.keys() == model.w.keys() and all(np.array_equal(first[k], again[k]) and np.array_equal(first[k], model.w[k]) for k in first)
+
+
 def test_deep_and_long_pages():
     assert [b[0] for b in X.blocks("<div>" * 5000 + "x" + "</div>" * 5000)] == ["x"]
     assert len(X.blocks("<p>w</p>" * 20_000)) == 20_000
