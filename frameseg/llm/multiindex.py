@@ -2,17 +2,24 @@
 centroids) are traversed by summed distance with a heap, and the entries of the cells reached are reranked on the original vectors.
 
 Nearness is the inner product, so a half's distance to a centroid is minus their product. Codebooks are fitted on a bounded sample
-(SAMPLE vectors with the smallest hash of their id); every vector is indexed. How many entries a query reaches is a share of all:
-the smallest at which AUDIT queries, searched by brute force over all vectors, find RECALL of their true neighbours.
+(SAMPLE vectors with the smallest hash of their id) and grow with the number of vectors; every vector is indexed. How many entries a query
+reaches is the smallest number at which AUDIT queries, searched by brute force over all vectors, find RECALL of their true
+neighbours; as many other queries then measure it, and where they find less than LEAST it is set by both.
 
-Vectors that are null, zero, hold null or non-finite components, or have another length than most, take no part; nor does a null vec_id.
-Rows that repeat a vec_id and its vector count once. Equal vectors tie and go by vec_id. Fewer candidates than k: all are returned.
+Entries are dealt to lists once, by their first centroids; a query goes to the lists of which it has reached a cell. A task holds
+a list's entries (ENTRIES, about) and reranks queries as they stream by.
+
+Vectors that are null, zero or hold null or non-finite components take no part; nor does a null vec_id. Vectors of each length are an
+index of their own, as products exist among them only. Rows that repeat a vec_id and its vector count once. Equal vectors tie and go by
+vec_id. Fewer candidates than k: all are returned. Other columns are ignored. No vectors: no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import logging
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +27,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, slices, table
 from .hnsw import usable
 
 K, EVERY = 20, 20
-#: Centroids of a half, at most; vectors that the codebooks are fitted on; audited queries and the share of neighbours they must find.
-CENTROIDS, SAMPLE, AUDIT, RECALL = 32, 20_000, 64, 0.97
-#: Entries and queries of a task at most, about.
-ENTRIES, QUERIES = 16_384, 4_096
+#: Vectors that the codebooks are fitted on; queries of an audit, the share of neighbours it must find, and what others must find at least.
+SAMPLE, AUDIT, RECALL, LEAST = 32_768, 64, 0.97, 0.93
+#: Vectors of a cell if all were alike, about, and centroids of a half at most; cells are counted in the driver and sent to tasks (8 MB).
+CELL, CENTROIDS = 10, 1024
+#: Entries of a list, about, and queries scored at a time.
+ENTRIES, QUERIES = 16_384, 256
+log = logging.getLogger(__name__)
+
+
+def centroids_for(n: int, cell: int = CELL, most: int = CENTROIDS) -> int:
+    """Centroids of each half for n vectors: a power of two, so that cells hold `cell` to 4 * `cell` on average."""
+    k = 1
+    while 4 * k * k * cell <= n and 2 * k <= most:
+        k *= 2
+    return k
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -37,34 +55,35 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray
     c = x[np.random.default_rng(seed).choice(len(x), k, replace=False)].astype(np.float64)
     for _ in range(rounds):
         near = nearest(x, c)
-        for j in range(k):
-            if (near == j).any():
-                c[j] = x[near == j].mean(0)
+        order, n = np.argsort(near, kind="stable"), np.bincount(near, minlength=k)
+        some = np.flatnonzero(n)
+        c[some] = np.add.reduceat(x[order], (np.cumsum(n) - n)[some], axis=0) / n[some, None]
     return c
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.argmin((c * c).sum(1)[None, :] - 2.0 * (x @ c.T), axis=1)
+    size = (c * c).sum(1)[None, :]
+    return np.concatenate([np.argmin(size - 2.0 * (x[i : i + 4096] @ c.T), axis=1) for i in range(0, len(x), 4096)] or [np.empty(0, np.int64)])
 
 
 def traverse(da: np.ndarray, db: np.ndarray, counts: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
-    """Cells (i, j) with entries by da[i] + db[j], until so many entries have been reached: the multi-sequence walk of Babenko and
-    Lempitsky 2012, a heap of the frontier."""
+    """Cells (i, j) with entries by da[i] + db[j], until so many entries have been reached (Babenko and Lempitsky 2012). The heap holds
+    the next cell of each row of the sorted table that has been begun; a row's first cell brings in the next row."""
     a, b = np.argsort(da, kind="stable").tolist(), np.argsort(db, kind="stable").tolist()
     sa, sb = da[a].tolist(), db[b].tolist()
     heap, got = [(sa[0] + sb[0], 0, 0)], 0
-    taken = [-1] * len(a)  # how far each row has been walked
     while heap and got < reach:
-        _, u, v = heapq.heappop(heap)
-        taken[u] = v
-        n = counts[a[u], b[v]]
-        if n:
+        _, u, v = heap[0]
+        if v + 1 < len(b):
+            heapq.heapreplace(heap, (sa[u] + sb[v + 1], u, v + 1))
+        else:
+            heapq.heappop(heap)
+        if v == 0 and u + 1 < len(a):
+            heapq.heappush(heap, (sa[u + 1] + sb[0], u + 1, 0))
+        i, j = a[u], b[v]
+        if n := counts[i, j]:
             got += n
-            yield a[u], b[v]
-        if v + 1 < len(b) and (u == 0 or taken[u - 1] > v):
-            heapq.heappush(heap, (sa[u] + sb[v + 1], u, v + 1))
-        if u + 1 < len(a) and taken[u + 1] == v - 1:
-            heapq.heappush(heap, (sa[u + 1] + sb[v], u + 1, v))
+            yield i, j
 
 
 def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -109,84 +128,154 @@ def _matrix(column, dim: int) -> np.ndarray:
 RESULT = "query_id long, vec_id long, score double"
 
 
-def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, centroids: int = CENTROIDS) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest rows of vectors(vec_id, embedding) other than the query's own id."""
-    spark = vectors.sparkSession
-    tmp = Scratch(spark, "imi")
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    v = v.where(usable() & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id", "embedding"])
-    v = tmp.save(v, "vectors")
-    dims = v.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not dims:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, total = dims[0]["dim"], dims[0]["count"]
-    v = v.where(F.size("embedding") == dim)
-    half = (dim + 1) // 2
-    sample = np.array([r.embedding for r in v.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(SAMPLE).collect()], np.float64)
+@dataclass
+class Index:
+    """What searching needs besides the entries (vec_id, embedding, i, j)."""
+
+    entries: DataFrame
+    dim: int
+    a: np.ndarray
+    b: np.ndarray
+    counts: np.ndarray  # entries of each cell
+    reach: int = 0
+    found: float = 1.0  # share of their neighbours that queries outside the audit find
+
+    @property
+    def half(self) -> int:
+        return (self.dim + 1) // 2
+
+    @property
+    def total(self) -> int:
+        return int(self.counts.sum())
+
+    def lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each first centroid its list and its place there, and of each list the blocks that its entries are dealt to. Small neighbours share a list."""
+        sizes, lists, place, filled = self.counts.sum(1), np.zeros(len(self.a), int), np.zeros(len(self.a), int), []
+        for i, n in enumerate(sizes.tolist()):
+            if not filled or filled[-1] + n > ENTRIES:
+                filled.append(0)
+            lists[i], place[i] = len(filled) - 1, i and (place[i - 1] + 1) * (lists[i - 1] == len(filled) - 1)
+            filled[-1] += n
+        return lists, place, np.maximum(1, -(-np.array(filled) // ENTRIES))
+
+
+def _some(v: DataFrame, n: int, total: int, seed: int) -> DataFrame:
+    """The n rows of the smallest hashes of their ids; a bound on the hash spares tasks sending n rows each."""
+    h = F.xxhash64("vec_id", F.lit(seed))
+    if total > 2 * n:
+        v = v.where(h < int(-(2.0**63) + 2.0**64 * 2 * n / total))
+    return v.orderBy(h, "vec_id").limit(n)
+
+
+def build(tmp: Scratch, v: DataFrame, dim: int, total: int, is_query, k: int = K, recall: float = RECALL, centroids: int | None = None) -> Index:
+    """The index of vectors (vec_id, embedding) of one length."""
+    half, centroids = (dim + 1) // 2, centroids or centroids_for(total)
+    sample = _matrix(_some(v, SAMPLE, total, 1).select("embedding").toArrow().column("embedding").combine_chunks(), dim)
     a, b = kmeans(sample[:, :half], centroids), kmeans(sample[:, half:], centroids) if dim > 1 else np.zeros((1, 0))
-    books = spark.sparkContext.broadcast((a, b))  # no more than 2 * centroids * dim numbers
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = books.value
-        for batch in batches:
-            if batch.num_rows:
+    def quantise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(iter([whole]), "embedding", 1 << 23):
                 x = _matrix(batch.column("embedding"), dim)
                 i, j = nearest(x[:, :half], a), nearest(x[:, half:], b) if dim > 1 else np.zeros(len(x))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(i, pa.int32()), pa.array(j, pa.int32())], ["vec_id", "embedding", "i", "j"])
 
-    entries = tmp.save(v.mapInArrow(index, "vec_id long, embedding array<float>, i int, j int"), "entries")
-    counts = np.zeros((len(a), len(b)), np.int64)  # a number for each cell
-    for r in entries.groupBy("i", "j").count().collect():
-        counts[r.i, r.j] = r["count"]
-    reach = _reach(tmp, entries, is_query, counts, books, dim, total, k, recall)
+    entries = tmp.save(v.select("vec_id", "embedding").mapInArrow(quantise, "vec_id long, embedding array<float>, i int, j int"), f"entries{dim}")
+    counts, cells = np.zeros((len(a), len(b)), np.int64), entries.groupBy("i", "j").count().toArrow()  # a number for each cell
+    counts[cells.column("i").to_numpy(), cells.column("j").to_numpy()] = cells.column("count").to_numpy()
+    index = Index(entries, dim, a, b, counts, total)
+    _audit(index, is_query, k, recall)
+    log.info("%d vectors of length %d, %d x %d centroids: a query reaches %.1f %% of entries and finds %.1f %% of its neighbours", index.total, dim, len(a), len(b), 100 * index.reach / index.total, 100 * index.found)
+    return index
+
+
+def neighbours(index: Index, is_query, k: int) -> DataFrame:
+    """query_id, vec_id, score of the best entries found in each list."""
+    spark = index.entries.sparkSession
+    lists, place, blocks = index.lists()
+    dim, half, width = index.dim, index.half, len(index.b)
+    sent = spark.sparkContext.broadcast((index.a, index.b, index.counts, lists, place))  # bounded by CENTROIDS
+    heights = np.bincount(lists)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each query and first centroid it reaches, with the second centroids as a bit mask."""
-        a, b = books.value
+        """A row for each query and list of which it reaches a cell, with these cells as bits."""
+        a, b, counts, lists, place = sent.value
         for batch in batches:
-            rows: list[tuple[int, int, int]] = []
+            rows: list[tuple[int, int, bytes]] = []
             x = _matrix(batch.column("embedding"), dim) if batch.num_rows else np.empty((0, dim))
             for n, q in enumerate(x):
-                mask = [0] * len(a)
-                for i, j in traverse(-(a @ q[:half]), -(b @ q[half:]), counts, reach):
-                    mask[i] |= 1 << j
-                rows += [(n, i, m) for i, m in enumerate(mask) if m]
-            n, i, m = zip(*rows, strict=True) if rows else ((), (), ())
+                cells = np.array(list(traverse(-(a @ q[:half]), -(b @ q[half:]), counts, index_reach)), np.int64).reshape(-1, 2)
+                at = lists[cells[:, 0]]
+                for one in np.unique(at):
+                    mine, bits = cells[at == one], np.zeros(heights[one] * width, bool)
+                    bits[place[mine[:, 0]] * width + mine[:, 1]] = True
+                    rows.append((n, int(one), np.packbits(bits).tobytes()))
+            n, one, bits = zip(*rows, strict=True) if rows else ((), (), ())
             at = pa.array(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("embedding").take(at), pa.array(i, pa.int32()), pa.array(m, pa.int64())], ["query_id", "embedding", "i", "cells"])
-
-    # lists of a first centroid are dealt to blocks by their size, queries to blocks of bounded size
-    queries = entries.where(is_query).select("vec_id", "embedding")
-    q_blocks = max(1, -(-queries.count() // QUERIES))
-    n_blocks = [max(1, -(-int(c) // ENTRIES)) for c in counts.sum(1)]
-    blocks = F.element_at(F.array(*map(F.lit, n_blocks)), F.col("i") + 1)
-    routed = queries.mapInArrow(route, "query_id long, embedding array<float>, i int, cells long").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int"))
-    routed = routed.withColumn("eb", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = entries.withColumn("eb", F.pmod(F.xxhash64("vec_id", F.lit(2)), blocks).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-
-    def rerank(key, q, e):
-        import pandas as pd
-
-        if not len(q) or not len(e):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        q, e = q.sort_values("query_id"), e.sort_values("vec_id")
-        mask = (q.cells.to_numpy(np.int64)[:, None] >> e.j.to_numpy(np.int64)[None, :] & 1).astype(bool)
-        found = ranked(_matrix(q.embedding, dim), q.query_id.to_numpy(np.int64), _matrix(e.embedding, dim), e.vec_id.to_numpy(np.int64), mask, k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
-
-    key = ["i", "eb", "qb"]
-    found = routed.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(rerank, RESULT)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("embedding").take(at), pa.array(one, pa.int32()), pa.array(bits, pa.binary())], ["vec_id", "embedding", "list", "bits"])
+
+    index_reach = index.reach
+    number = lambda values: F.element_at(F.array(*(F.lit(int(x)) for x in values)), F.col("i") + 1)
+    split = lambda c: F.element_at(F.array(*(F.lit(int(x)) for x in blocks)), c + 1)
+    e = index.entries.select("vec_id", "embedding", number(lists).alias("list"), (number(place) * width + F.col("j")).alias("cell"))
+    e = e.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), split(F.col("list"))).cast("int"))
+    q = index.entries.where(is_query).select("vec_id", "embedding").mapInArrow(route, "vec_id long, embedding array<float>, list int, bits binary")
+    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), split(F.col("list")) - 1)))
+    # an entry goes to one task, a query to those it needs
+    both = e.select("list", "block", "vec_id", "embedding", "cell", F.lit(None).cast("binary").alias("bits")).unionByName(q.select("list", "block", "vec_id", "embedding", F.lit(None).cast("int").alias("cell"), "bits"))
+    both = both.repartition(int(min(20_000, 2 * blocks.sum())), "list", "block").sortWithinPartitions("list", "block", F.col("cell").isNull(), "vec_id")
+
+    def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, x, ids, cells, held = None, None, None, None, []
+        for batch in batches:
+            at = batch.column("list").to_numpy().astype(np.int64) << 32 | batch.column("block").to_numpy()
+            edges = np.flatnonzero(np.diff(at)) + 1
+            for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(at)], strict=True) if len(at) else ():
+                if key != at[lo]:
+                    key, held, x = at[lo], [], None
+                part = batch.slice(lo, hi - lo)
+                n = len(part) - part.column("cell").null_count  # entries come first
+                if n:
+                    held.append(part.slice(0, n))
+                if n == len(part) or not held:  # no queries, or a list whose block has no entries
+                    continue
+                if x is None:
+                    x = np.concatenate([_matrix(p.column("embedding"), dim) for p in held])
+                    ids, cells = (np.concatenate([p.column(c).to_numpy() for p in held]) for c in ("vec_id", "cell"))
+                for i in range(n, len(part), QUERIES):
+                    q = part.slice(i, QUERIES)
+                    bits = np.stack([np.unpackbits(np.frombuffer(b.as_py(), np.uint8)) for b in q.column("bits")]).astype(bool)
+                    found = ranked(_matrix(q.column("embedding"), dim), q.column("vec_id").to_numpy(), x, ids, bits[:, cells], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
+
+    return both.mapInArrow(rerank, RESULT)
+
+
+def search(vectors: DataFrame, is_query, k: int = K, recall: float = RECALL, centroids: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest rows of vectors(vec_id, embedding) other than the query's own id."""
+    spark = vectors.sparkSession
+    tmp = Scratch(spark, "imi")
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    v = tmp.save(v.where(usable() & F.col("vec_id").isNotNull()).dropDuplicates(["vec_id", "embedding"]).withColumn("dim", F.size("embedding")), "vectors")
+    found = None
+    for r in sorted(v.groupBy("dim").count().collect()):  # a row for each length
+        index = build(tmp, v.where(F.col("dim") == r["dim"]), r["dim"], r["count"], is_query, k, recall, centroids)
+        one = neighbours(index, is_query, k)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = once.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return tmp.only(out, "result")
 
 
-def _reach(tmp: Scratch, entries: DataFrame, is_query, counts: np.ndarray, books, dim: int, total: int, k: int, recall: float) -> int:
-    """The number of entries that audited queries must reach to find the asked share of their true neighbours."""
-    few = entries.where(is_query).orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(AUDIT).select("vec_id", "embedding").collect()
-    if not few:
-        return total
-    q, ids = np.array([r.embedding for r in few], np.float64), np.array([r.vec_id for r in few], np.int64)
+def _audit(index: Index, is_query, k: int, recall: float) -> None:
+    """Sets how many entries a query must reach, by AUDIT queries, and measures on others what that finds."""
+    few = index.entries.where(is_query).orderBy(F.xxhash64("vec_id", F.lit(5)), "vec_id").limit(2 * AUDIT).select("vec_id", "embedding").toArrow()
+    q, ids, dim = _matrix(few.column("embedding").combine_chunks(), index.dim), few.column("vec_id").to_numpy(), index.dim
+    if not len(q):
+        return
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: list = []
@@ -201,19 +290,29 @@ def _reach(tmp: Scratch, entries: DataFrame, is_query, counts: np.ndarray, books
         if best:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*best, strict=True)], schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("i", pa.int64()), ("j", pa.int64())]))
 
-    truth = entries.mapInArrow(scan, RESULT + ", i long, j long")
+    truth = index.entries.mapInArrow(scan, RESULT + ", i long, j long")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    truth = truth.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).collect()  # AUDIT * k rows
-    a, b = books.value
-    half, needed = (dim + 1) // 2, []
-    for qi, x in zip(ids.tolist(), q, strict=True):
-        cells, seen = {}, 0
-        for i, j in traverse(-(a @ x[:half]), -(b @ x[half:]), counts, total):
-            cells[i, j] = seen  # reaching more than this brings the cell in
-            seen += int(counts[i, j])
-        needed += [cells[r.i, r.j] + 1 for r in truth if r.query_id == qi]
-    needed.sort()
-    return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else total
+    truth = truth.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).select("query_id", "i", "j").toArrow()  # 2 * AUDIT * k rows
+    of, i, j = (truth.column(c).to_numpy() for c in ("query_id", "i", "j"))
+    needed = []  # entries to reach until the cell of each true neighbour is taken in, by query
+    for n, x in zip(ids, q, strict=True):
+        cost = -(index.a @ x[: index.half])[:, None] - (index.b @ x[index.half :])[None, :]
+        order = np.argsort(cost, axis=None, kind="stable")
+        before = np.empty(order.size, np.int64)
+        sizes = index.counts.ravel()[order]
+        before[order] = np.cumsum(sizes) - sizes
+        needed.append(before.reshape(cost.shape)[i[of == n], j[of == n]] + 1)
+
+    def enough(some: list[np.ndarray]) -> int:
+        every = np.sort(np.concatenate(some))
+        return int(every[min(len(every) - 1, int(np.ceil(recall * len(every))))]) if len(every) else index.total
+
+    chosen, others = needed[:AUDIT], needed[AUDIT:] or needed
+    index.reach = enough(chosen)
+    share = lambda: float((np.concatenate(others) <= index.reach).mean()) if sum(map(len, others)) else 1.0
+    if share() < LEAST:
+        index.reach = max(index.reach, enough(others))
+    index.found = share()
 
 
 def _best(rows: list[tuple], k: int) -> list[tuple]:

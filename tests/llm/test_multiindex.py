@@ -53,6 +53,41 @@ def test_blocks(spark, monkeypatch):
     assert np.mean([got[q, k + 1] == i for q, rows in want.items() for k, (_, i) in enumerate(rows)]) > 0.9
 
 
+def test_each_length_is_searched(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3 + i % 2).astype(np.float32).tolist()) for i in range(90)]
+    got = X.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 < 2, k=4, recall=1.0).collect()
+    assert {r.query_id for r in got} == {0, 1, 20, 21, 40, 41, 60, 61, 80, 81} and len(got) == 40
+    assert all(r.query_id % 2 == r.vec_id % 2 for r in got)
+
+
+def shares(spark, tmp_path, n, near):
+    """Share of entries that a query reaches and share of neighbours found outside the audit; near: vectors of a cluster, 1 for none."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n // near, 64))[np.arange(n) % (n // near)] + (near > 1) * rng.normal(0, 0.3, (n, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))})
+    pq.write_table(table, f"{tmp_path}/{n}-{near}.parquet")
+    index = X.build(X.Scratch(spark, "test"), spark.read.parquet(f"{tmp_path}/{n}-{near}.parquet"), 64, n, F.col("vec_id") % 20 == 0)
+    return index.reach / n, index.found
+
+
+def test_work_is_sublinear_where_vectors_cluster(spark, tmp_path):
+    found = {n: shares(spark, tmp_path, n, 40) for n in (10_000, 100_000)}
+    print(found)
+    assert all(f >= 0.9 for _, f in found.values())
+    assert found[100_000][0] < 0.75 * found[10_000][0] < 0.01
+
+
+def test_vectors_without_structure_need_many_entries(spark, tmp_path):
+    share, found = shares(spark, tmp_path, 20_000, 1)
+    print(share, found)
+    assert found >= 0.9 and 0.2 < share < 0.8
+
+
 def test_empty(spark):
     e = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert X.search(e, F.col("vec_id") % 20 == 0).count() == 0
