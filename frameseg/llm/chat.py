@@ -4,7 +4,8 @@ dynamic programming over the automaton of legal turns, which chooses merges, new
 Costs: keep 0, merge into the turn before 1, an empty turn 2, another label 4 (1 for a role that is none of the three, or null). Of
 repairs of equal cost one with the fewest turns is taken. It ends with an assistant's turn unless `final` says otherwise. Turns are ordered by
 turn (null last), then role, then text; repeated rows are turns like any other. A null text is empty. Rows without conv_id are one
-conversation. Merged texts are joined by a blank line. In texts '<|' is rendered as '< |', so that no text looks like a mark.
+conversation. Merged texts are joined by a blank line. In texts '<|' is rendered as '< |', so that no text looks like a mark. Other columns are
+ignored. No turns: no rows. A merged turn is one row however long.
 
 A long conversation may span tasks: each finds the best costs between any two states over its own run of turns, the driver
 joins these (two for each task, whatever the input), and each task then repairs its run between the states so found.
@@ -24,8 +25,8 @@ BEGIN = 3
 STATES = (0, 1, 2, BEGIN)
 LEGAL = {BEGIN: (0, 1), 0: (1,), 1: (2,), 2: (1,)}
 MERGE, RELABEL, NAME, INSERT = 1, 4, 1, 2
-#: Turns of a task, about.
-TURNS = 20_000
+#: Turns and bytes of text of a task, about.
+TURNS, BYTES = 20_000, 32 << 20
 FAR = (1 << 40, 0)
 
 
@@ -201,7 +202,8 @@ def chat_turns(conversations: DataFrame, final: tuple[str, ...] = ("assistant",)
     tmp = Scratch(spark, "chat")
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.lower(F.trim(F.col("role").cast("string"))).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = [F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("role"), F.col("text")]
-    parts = max(1, -(-c.count() // turns))
+    held = c.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    parts = max(1, -(-held.n // turns), -(-held["size"] // BYTES))
     # ties fall where they may, so a row's own hash spreads a conversation without turn numbers too
     dealt = c.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     dealt = tmp.save(dealt.select("*", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("seq")), "dealt")

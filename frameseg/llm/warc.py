@@ -1,13 +1,16 @@
 """WARC 1.1 archives compressed by Zstandard: a dictionary in the leading skippable frame, one frame for each record.
 
 The reader takes files as spark.read.format("binaryFile") gives them, loads the dictionary, decodes frame by frame and validates
-version, required headers, lengths and digests. The writer makes one archive of each partition in the shared folder. Of records with
+version, required headers, lengths and digests. The writer makes archives of bounded size in the shared folder. Of records with
 equal payloads of at least REVISIT bytes the one with the largest page_id is a response, others are revisits that refer to it and
 carry its headers but no payload; payload length and digest are of the full payload in both.
 
 Null html is an empty payload, a null url leaves WARC-Target-URI out, a null page_id counts as smaller than any other (if all
 are null, all are responses). Rows that repeat the largest page_id are responses too. White space and control characters of a url are
-percent-encoded. No pages: no archives, no rows.
+percent-encoded. No pages: no archives, no rows. Other columns are ignored.
+
+The dictionary is trained on the first PREFIX characters of SAMPLE pages, which decides how well records are compressed and nothing else; records
+hold whole pages.
 """
 
 from __future__ import annotations
@@ -26,8 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, slices, table
 
-#: Payloads from this size on are stored once; dictionary size and the bounded sample it is trained on; pages of an archive, about.
-REVISIT, DICTIONARY, SAMPLE, PAGES, LEVEL = 1000, 32_768, 400, 4_000, 3
+#: Payloads from this size on are stored once; dictionary size and the bounded sample it is trained on.
+REVISIT, DICTIONARY, SAMPLE, PREFIX, LEVEL = 1000, 32_768, 400, 8192, 3
+#: Bytes of payloads that a task writes, about, and compressed bytes from which on it begins another archive.
+PART, ARCHIVE = 48 << 20, 64 << 20
+#: Parts into which pages of a digest are dealt for the join, as one digest may have a third of all.
+SALTS = 8
 #: Fixed values of the formats.
 SKIPPABLE, DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, b"\x37\xa4\x30\xec", b"\x28\xb5\x2f\xfd"
 VERSION = b"WARC/1.1"
@@ -151,11 +158,11 @@ def parse(frame: bytes) -> dict:
     return out
 
 
-def write(pages: DataFrame, folder: str, dictionary: bytes | None) -> list[str]:
+def write(pages: DataFrame, folder: str, dictionary: bytes | None, limit: int = ARCHIVE) -> list[str]:
     """Archives of pages(page_id, url, html, refers_to) in a shared folder; their paths.
 
-    A task writes one file under a name of its own and moves it to the partition's name when it is complete, so that lost
-    and repeated tasks leave one archive.
+    A task writes files under draft names and moves each to a name of its partition when it is complete. Only files that the task which
+    counted has named are returned, so that lost and repeated tasks leave each record in one archive.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,25 +170,35 @@ def write(pages: DataFrame, folder: str, dictionary: bytes | None) -> list[str]:
         from pyspark import TaskContext
 
         store, root = fs.FileSystem.from_uri(folder)
-        name = f"{root}/part-{TaskContext.get().partitionId():06d}.warc.zst"
-        draft = f"{root}/_draft-{uuid.uuid4().hex}"
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=LEVEL)
-        n, out = 0, None
+        names, out, size, draft = [], None, 0, ""
+
+        def close():
+            nonlocal out
+            out.close()
+            names.append(f"part-{TaskContext.get().partitionId():06d}-{len(names):04d}.warc.zst")
+            store.move(draft, f"{root}/{names[-1]}")
+            out = None
+
         for b in slices(batches, "html"):
             for page_id, url, html, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 if out is None:
                     store.create_dir(root, recursive=True)
+                    draft, size = f"{root}/_draft-{uuid.uuid4().hex}", 0
                     out = store.open_output_stream(draft)
                     out.write(skippable(dictionary) if dictionary else b"")
                 payload = (html or "").encode()
-                out.write(packer.compress(record(page_id, url, payload, hashlib.sha1(payload).digest(), refers_to)))
-                n += 1
+                frame = packer.compress(record(page_id, url, payload, hashlib.sha1(payload).digest(), refers_to))
+                out.write(frame)
+                size += len(frame)
+                if size >= limit:
+                    close()
         if out is not None:
-            out.close()
-            store.move(draft, name)
-            yield pa.RecordBatch.from_arrays([pa.array([name.rpartition("/")[2]]), pa.array([n])], ["name", "records"])
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
 
-    return [f"{folder}/{r.name}" for r in pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "name string, records long").collect()]
+    found = pages.select("page_id", "url", "html", "refers_to").mapInArrow(run, "name string").toArrow()
+    return [f"{folder}/{name}" for name in found.column("name").to_pylist()]
 
 
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -217,27 +234,44 @@ def read(files: DataFrame, payloads: bool = True) -> DataFrame:
     return files.select("content").mapInArrow(run, RECORDS)
 
 
+def _sample(p: DataFrame, tmp: Scratch) -> list[bytes]:
+    """The starts of SAMPLE pages with the smallest hashes of their ids: ids are chosen first, then these pages' starts alone are fetched."""
+    h = F.xxhash64("page_id")
+    ids = p.where("page_id is not null and html <> ''").select("page_id", h.alias("h"))
+    n = ids.count()
+    if n > 4 * SAMPLE:
+        ids = ids.where(F.col("h") < int(-(2.0**63) + 2.0**64 * 4 * SAMPLE / n))
+    ids = tmp.save(ids.distinct().orderBy("h", "page_id").limit(SAMPLE).select("page_id"), "sample")
+    starts = p.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.max(F.substring("html", 1, PREFIX)).alias("start"))  # SAMPLE ids of 8 bytes
+    return [r.start.encode() for r in sorted(starts.collect()) if r.start]
+
+
 def archive(pages: DataFrame) -> DataFrame:
     """Writes pages(page_id, url, html) and reads the archives back: RECORDS."""
     spark = pages.sparkSession
     tmp = Scratch(spark, "warc")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    large = F.octet_length("html") >= REVISIT
+    digest = F.when(large, F.sha1(F.encode("html", "UTF-8")))
     # digests of payloads that occur more than once, of which one is kept
-    large = p.where(F.octet_length("html") >= REVISIT).select("page_id", F.sha1(body).alias("digest"))
-    kept = tmp.save(large.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept"), "kept")
-    p = p.withColumn("digest", F.when(F.octet_length("html") >= REVISIT, F.sha1(body))).join(kept, "digest", "left")
-    p = p.withColumn("refers_to", F.when(F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept")))
-    sample = [r.html.encode() for r in p.where("html <> ''").select("page_id", F.substring("html", 1, 8192).alias("html")).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect()]
+    kept = p.select("page_id", digest.alias("digest")).where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
+    kept = tmp.save(kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "kept")
+    # pages too small for a digest meet nothing: a key of their own spreads them
+    row = F.xxhash64("page_id", "url", "html")
+    p = p.withColumn("digest", F.coalesce(digest, F.concat(F.lit("-"), row.cast("string")))).withColumn("salt", F.pmod(row, F.lit(SALTS)).cast("int")).join(kept, ["digest", "salt"], "left")
+    p = p.withColumn("refers_to", F.when(F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))).select("page_id", "url", "html", "refers_to")
+    plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
     try:
-        dictionary = zstandard.train_dictionary(DICTIONARY, [record(0, "http://www.example.com/", s, b"\0" * 20, None) for s in sample]).as_bytes()
+        dictionary = zstandard.train_dictionary(DICTIONARY, [record(0, "http://www.example.com/", s, b"\0" * 20, None) for s in _sample(plain, tmp)]).as_bytes()
     except zstandard.ZstdError:  # too few pages to train on
         dictionary = None
-    parts = max(1, -(-pages.count() // PAGES))
-    paths = write(p.repartition(parts, F.xxhash64("page_id", "url")), tmp.path("archives"), dictionary)
+    held = plain.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("size")).first()
+    # dealt in turn, after a sort that makes repeats of a task deal alike: neither a page id nor a payload can fill a task
+    paths = write(p.repartition(1 + held["size"] // PART), tmp.path("archives"), dictionary)
+    tmp.names.add("archives")
     if not paths:
         return spark.createDataFrame([], RECORDS)
-    return read(spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.zst").load(tmp.path("archives")))
+    return read(spark.read.format("binaryFile").load(paths))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,3 +78,16 @@ def test_round_trip(spark):
 
 def test_empty(spark):
     assert W.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_archives_are_of_bounded_size(spark, tmp_path):
+    import os
+
+    rows = [(i % 3 or None, "u", os.urandom(2000).hex(), None) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to long")
+    paths = W.write(pages.coalesce(1), f"file://{tmp_path}", None, limit=10_000)
+    assert len(paths) >= 10 and len(set(paths)) == len(paths)
+    assert all(os.path.getsize(p[7:]) < 15_000 for p in paths)
+    (tmp_path / "part-999999-0000.warc.zst").write_bytes(b"left by a task that was lost")
+    got = W.read(spark.read.format("binaryFile").load(paths)).collect()
+    assert sorted(bytes(r.payload).decode() for r in got) == sorted(r[2] for r in rows)
