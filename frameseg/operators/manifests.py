@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..schemas import PostProcessConfig
 from . import metrics as M
-from .sequence import KEY, hysteresis_runs, smooth
+from .sequence import KEY, medians
+
+#: Points of a parameter search at most, as they are broadcast.
+GRID = 100_000
 
 
 def ranked_split(items: DataFrame, amount: str, ranks: tuple[int, ...] = (1, 3)) -> DataFrame:
@@ -62,31 +65,46 @@ def parameter_grid(**values) -> list[dict]:
 
 
 def grid_search(frames: DataFrame, labels: DataFrame, grid: list[dict], base: PostProcessConfig, iou: float = 0.5) -> DataFrame:
-    """Event scores of each point of a grid. Smoothing is done once for each median, runs once for each pair of thresholds; the rest of a
-    point is a join with the (small) grid, and a point is part of the recordings' key."""
+    """Event scores of each point of a grid.
+
+    Frames are read and sorted once: all medians are windows over one sort, and a frame is copied for each (median, off) pair it reaches, for
+    which runs are cut in the same partitions. From there on rows are runs. Points that differ in nothing but a gap that another
+    covers are computed once. The grid is broadcast; it is a list of the caller's, of at most GRID points.
+    """
+    if len(grid) > GRID:
+        raise ValueError(f"more than {GRID} points")
     spark = frames.sparkSession
     points = [PostProcessConfig(**{**base.__dict__, **g}) for g in grid]
-    rows = [(k, c.median_s, c.on_threshold, c.off_threshold, max(c.max_gap_s, c.merge_gap_s), c.min_song_s, c.max_gap_s) for k, c in enumerate(points)]
-    g = F.broadcast(spark.createDataFrame(rows, "grid_idx int, median_s double, on_threshold double, off_threshold double, gap double, min_song_s double, max_gap_s double"))
-    runs = None
-    for m in sorted({c.median_s for c in points}):
-        p = smooth(frames, next(c for c in points if c.median_s == m).median_frames)
-        for on, off in sorted({(c.on_threshold, c.off_threshold) for c in points if c.median_s == m}):
-            r = hysteresis_runs(p, on, off).select(KEY, "a", "b", F.lit(m).alias("median_s"), F.lit(on).alias("on_threshold"), F.lit(off).alias("off_threshold"))
-            runs = r if runs is None else runs.unionByName(r)
+    keys = [(c.median_frames, float(c.on_threshold), float(c.off_threshold), float(max(c.max_gap_s, c.merge_gap_s)), float(c.min_song_s)) for c in points]
+    point = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+    p = F.broadcast(spark.createDataFrame([(i, *k) for k, i in point.items()], "point int, k int, on double, off double, gap double, min_song_s double"))
+    pairs = sorted({(k, off) for k, _, off, *_ in point})
+    ks = sorted({k for k, _ in pairs})
+    x = medians(frames, ks).select(KEY, "frame_idx", *(f"median_{k}" for k in ks))
+    reached = F.array(*(F.when(F.col(f"median_{k}") >= off, F.struct(F.lit(k).alias("k"), F.lit(off).alias("off"), F.col(f"median_{k}").alias("v"))) for k, off in pairs))
+    x = x.select(KEY, "frame_idx", F.explode(F.filter(reached, lambda r: r.isNotNull())).alias("r")).select(KEY, "frame_idx", "r.k", "r.off", "r.v")
+    w = W.partitionBy(KEY, "k", "off").orderBy("frame_idx")
+    x = x.withColumn("_s", F.coalesce(F.lag("frame_idx").over(w) < F.col("frame_idx") - 1, F.lit(True)))
+    x = x.withColumn("_i", F.sum(F.col("_s").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    runs = x.groupBy(KEY, "k", "off", "_i").agg(F.min("frame_idx").alias("a"), (F.max("frame_idx") + 1).alias("b"), F.max("v").alias("top"))
     rate = F.lit(base.frame_rate)
-    x = runs.where((F.col("b") - F.col("a")) / rate >= base.min_blip_s).join(g, ["median_s", "on_threshold", "off_threshold"])
-    w = W.partitionBy("grid_idx", KEY).orderBy("a")
+    x = runs.where((F.col("b") - F.col("a")) / rate >= base.min_blip_s).join(p, ["k", "off"]).where(F.col("top") >= F.col("on"))
+    w = W.partitionBy(KEY, "point").orderBy("a")
     far = (F.col("a") - F.lag("b").over(w)) / rate > F.col("gap")
     x = x.withColumn("_g", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    x = x.groupBy("grid_idx", KEY, "_g", "min_song_s").agg(F.min("a").alias("a"), F.max("b").alias("b")).where((F.col("b") - F.col("a")) / rate >= F.col("min_song_s"))
-    pred = x.select("grid_idx", F.concat_ws("|", "grid_idx", KEY).alias(KEY), F.round(F.col("a") / rate, 2).alias("start"), F.round(F.col("b") / rate, 2).alias("end"))
+    x = x.groupBy(KEY, "point", "_g", "min_song_s").agg(F.min("a").alias("a"), F.max("b").alias("b")).where((F.col("b") - F.col("a")) / rate >= F.col("min_song_s"))
+    pred = x.select("point", KEY, F.round(F.col("a") / rate, 2).alias("start"), F.round(F.col("b") / rate, 2).alias("end"))
     true = M.truth_segments(labels, base.frame_rate, base.merge_gap_s)
-    true = true.crossJoin(g.select("grid_idx")).select("grid_idx", F.concat_ws("|", "grid_idx", KEY).alias(KEY), "start", "end")
-    split = lambda d: d.withColumn("grid_idx", F.split(KEY, r"\|")[0].cast("int"))
-    m = split(M.match(pred, true, iou)).groupBy("grid_idx").agg(F.count("*").alias("event_tp"))
-    n = pred.groupBy("grid_idx").agg(F.count("*").alias("_p")).join(true.groupBy("grid_idx").agg(F.count("*").alias("_t")), "grid_idx", "full")
-    out = g.join(n, "grid_idx", "left").join(m, "grid_idx", "left").fillna(0, ["_p", "_t", "event_tp"])
+    if iou >= 0.5:
+        m = M.match_join(pred, true, iou, ["point"]).select("point", F.lit(0).alias("np"), F.lit(1).alias("m"))
+    else:  # the greedy matcher's groups: a point's part of a recording
+        named = lambda d: d.withColumn(KEY, F.concat_ws("|", "point", KEY))
+        m = M.match_greedy(named(pred), named(true.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(len(point) - 1))))), iou)
+        m = m.select(F.split(KEY, r"\|")[0].cast("int").alias("point"), F.lit(0).alias("np"), F.lit(1).alias("m"))
+    n = m.unionByName(pred.select("point", F.lit(1).alias("np"), F.lit(0).alias("m"))).groupBy("point").agg(F.sum("np").alias("_p"), F.sum("m").alias("event_tp"))
+    rows = [(i, point[k], float(c.on_threshold), float(c.off_threshold), float(c.median_s), float(c.max_gap_s), float(c.min_song_s)) for i, (k, c) in enumerate(zip(keys, points, strict=True))]
+    g = F.broadcast(spark.createDataFrame(rows, "grid_idx int, point int, on_threshold double, off_threshold double, median_s double, max_gap_s double, min_song_s double"))
+    out = n.join(g, "point", "right").crossJoin(true.agg(F.count("*").alias("_t"))).fillna(0, ["_p", "event_tp"])  # one row with the number of true segments
     out = out.withColumn("event_precision", M.ratio(F.col("event_tp"), F.col("_p"))).withColumn("event_recall", M.ratio(F.col("event_tp"), F.col("_t")))
     p, r = F.col("event_precision"), F.col("event_recall")
     out = out.withColumn("event_f1", M.ratio(2 * p * r, p + r))

@@ -47,13 +47,23 @@ def iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(hull > 0, F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0)) / hull).otherwise(0.0)
 
 
-def match_join(pred: DataFrame, true: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Matches of segments(vod_id, start, end), both sides apart: from 0.5 on a segment has one partner at most, so a join is enough."""
+#: Seconds of a cell: segments are joined by recording and cell, so that a long recording isn't all pairs of its segments.
+CELL = 3600.0
+
+
+def match_join(pred: DataFrame, true: DataFrame, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
+    """Matches of segments(vod_id, start, end), both sides apart: from 0.5 on a segment has one partner at most, so a join is enough.
+    by: columns of pred that tell sets of predictions apart."""
     if threshold < 0.5:
         raise ValueError("below 0.5 a segment may have several partners: match_greedy")
-    p = pred.select(KEY, F.col("start").alias("ps"), F.col("end").alias("pe"))
-    t = true.select(KEY, F.col("start").alias("ts"), F.col("end").alias("te"))
-    x = p.join(t, (p[KEY] == t[KEY]) & (F.col("ps") < F.col("te")) & (F.col("ts") < F.col("pe"))).drop(t[KEY])
+
+    def cells(s: DataFrame, a: str, b: str, *more: str) -> DataFrame:
+        x = s.select(KEY, F.col("start").alias(a), F.col("end").alias(b), *more)
+        return x.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(a) / CELL), F.floor(F.greatest(F.col(a), F.col(b)) / CELL))))
+
+    x = cells(pred, "ps", "pe", *(by or [])).join(cells(true, "ts", "te"), [KEY, "_cell"]).where((F.col("ps") < F.col("te")) & (F.col("ts") < F.col("pe")))
+    # a pair meets in all cells that both cover; it counts in the one where the later begins
+    x = x.where(F.col("_cell") == F.floor(F.greatest("ps", "ts") / CELL)).drop("_cell")
     return x.withColumn("iou", iou(F.col("ps"), F.col("pe"), F.col("ts"), F.col("te"))).where(F.col("iou") >= threshold)
 
 

@@ -43,21 +43,31 @@ def pad_edge(frames: DataFrame, left: int, right: int) -> DataFrame:
     return x.withColumn("j", F.explode(F.concat(F.array(i.cast("int")), first, last)))
 
 
+def medians(frames: DataFrame, ks: list[int], value: str = "prob") -> DataFrame:
+    """frames with a column median_k for each k (odd): the median over k frames, mirrored at the ends. Missing values are below all others;
+    where they are the median it is null. All windows share one sort."""
+    h = max(ks) // 2
+    low = F.lit(float("-inf"))
+    x = pad_reflect(frames.withColumn("_v", F.coalesce(sane(F.col(value)), low)), h)
+    for k in ks:
+        frame = W.partitionBy(KEY).orderBy("j").rowsBetween(-(k // 2), k // 2)
+        x = x.withColumn(f"median_{k}", F.get(F.array_sort(F.collect_list("_v").over(frame)), F.lit(k // 2)) if k > 1 else F.col("_v"))
+    x = x.where((F.col("j") >= 0) & (F.col("j") < F.col("n"))).drop("j", "n", "_v")
+    return x.withColumns({f"median_{k}": F.nullif(f"median_{k}", low) for k in ks})
+
+
 def smooth(frames: DataFrame, k: int, value: str = "prob") -> DataFrame:
-    """Median over k (odd) frames, mirrored at the ends; the value column is replaced."""
+    """Median over k (odd) frames, mirrored at the ends; the value column is replaced. Missing values are below all others."""
     if k == 1:
         return frames
-    h = k // 2
-    frame = W.partitionBy(KEY).orderBy("j").rowsBetween(-h, h)
-    x = pad_reflect(frames, h).withColumn("_m", F.get(F.array_sort(F.collect_list(value).over(frame)), F.lit(h)))
-    return x.where((F.col("j") >= 0) & (F.col("j") < F.col("n"))).withColumn(value, F.col("_m")).drop("_m", "j", "n")
+    return medians(frames, [k], value).withColumn(value, F.col(f"median_{k}")).drop(f"median_{k}")
 
 
 def vote(frames: DataFrame, k: int, flag: str) -> DataFrame:
-    """Majority of a boolean column over k frames, mirrored at the ends."""
+    """Majority of a boolean column over k frames, mirrored at the ends; null votes against."""
     h = k // 2
     frame = W.partitionBy(KEY).orderBy("j").rowsBetween(-h, h)
-    x = pad_reflect(frames, h).withColumn("_v", F.sum(F.col(flag).cast("int")).over(frame) >= h + 1)
+    x = pad_reflect(frames, h).withColumn("_v", F.sum(F.coalesce(F.col(flag), F.lit(False)).cast("int")).over(frame) >= h + 1)
     return x.where((F.col("j") >= 0) & (F.col("j") < F.col("n"))).withColumn(flag, F.col("_v")).drop("_v", "j", "n")
 
 

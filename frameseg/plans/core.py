@@ -124,7 +124,7 @@ def p15(spark, d):
     return x.where("i % 4 = 1").select("stem")
 
 
-@query("p16_alignment", T.sql("select vod_id, frame_idx, prob, label from frames join (select * from labs where frame_idx < 150) using (vod_id, frame_idx)", T.FRAMES, T.LABELS))
+@query("p16_alignment", T.sql("select vod_id, frame_idx, prob, label from frames join labs using (vod_id, frame_idx)", T.FRAMES, T.LABELS))
 def p16(spark, d):
     return X.frames(spark, d).join(X.labels(spark, d), ["vod_id", "frame_idx"])
 
@@ -209,7 +209,7 @@ def w11(spark, d):
     return MF.largest_per_group_split(X.manifest(spark, d), "streamer", "n_frames").select("stem", "streamer", "split")
 
 
-@query("w12_segment_numbering", T.sql("select vod_id, vod_id || '_song' || lpad(seg_no::varchar, 2, '0') as clip from pred where seg_no < 100", T.FRAMES, T.songs(), T.pred()))
+@query("w12_segment_numbering", T.sql("select vod_id, vod_id || '_song' || lpad(seg_no::varchar, greatest(2, length(seg_no::varchar))::int, '0') as clip from pred", T.FRAMES, T.songs(), T.pred()))
 def w12(spark, d):
     x = S.probs_to_segments(X.frames(spark, d), CFG)
     return x.select("vod_id", F.format_string("%s_song%02d", "vod_id", "seg_no").alias("clip"))
@@ -304,8 +304,8 @@ def j5(spark, d):
 
 
 TARGETS = """select f.vod_id, f.frame_idx, case when exists (select 1 from truth t where t.vod_id = f.vod_id and f.frame_idx >= trunc(t.start * 0.5::double)::int and f.frame_idx < trunc(t."end" * 0.5::double)::int) then 1
-  when f.vod_id = 'view' then 4 when x.vod_id is null then 0 when voc_db > -38 and acc_db > -45 then -1 when acc_db > -45 then 3 else 0 end as label
-  from frames f left join (select * from feats where vod_id <> 'view' and frame_idx < 1000) x using (vod_id, frame_idx)"""
+  when x.vod_id is null then 0 when voc_db > -38 and acc_db > -45 then -1 when acc_db > -45 then 3 else 0 end as label
+  from frames f left join feats x using (vod_id, frame_idx)"""
 
 
 @query("j6_target_classes", T.sql(TARGETS, T.FRAMES, T.LABELS, T.FEATURES, T.truth()))
@@ -331,11 +331,11 @@ def j7(spark, d):
     return both.join(cached, ["stem", "dom"], "left_semi")
 
 
-GRID = MF.parameter_grid(on_threshold=[0.5, 0.6, 0.7], off_threshold=[0.3, 0.4], median_s=[3.0, 6.0], max_gap_s=[30.0, 45.0, 60.0], min_song_s=[40.0, 60.0])
+GRID = MF.parameter_grid(on_threshold=[0.5, 0.6, 0.7], off_threshold=[0.3, 0.4], median_s=[6.0, 18.0], max_gap_s=[30.0, 45.0, 60.0], min_song_s=[40.0, 60.0])
 
 
 def _grid_sql() -> tuple[list, str]:
-    ctes, rows = [T.FRAMES, T.LABELS, T.truth(), T.smooth("sm3", "frames", 3), T.smooth("sm6", "frames", 3)], []
+    ctes, rows = [T.FRAMES, T.LABELS, T.truth(), T.smooth("sm6", "frames", 3), T.smooth("sm18", "frames", 9)], []
     for k, g in enumerate(GRID):
         p = f"g{g['median_s']:.0f}_{g['on_threshold'] * 10:.0f}_{g['off_threshold'] * 10:.0f}_{g['min_song_s']:.0f}"
         ctes.append([*T.hysteresis(f"{p}h", f"sm{g['median_s']:.0f}", g["on_threshold"], g["off_threshold"]), T.keep_long(f"{p}b", f"{p}h", 8, 0.5), T.merge(f"{p}m", f"{p}b", 90, 0.5), T.keep_long(f"{p}s", f"{p}m", g["min_song_s"], 0.5)])

@@ -161,7 +161,7 @@ def j10(spark, d):
 
 
 # set operations and sorts
-@query("o1_union_sources", T.sql("select vod, weight, focus from (select streamer || '/' || stem as vod, 12.0::double as weight, null::varchar as focus from items where streamer = '0' union all select streamer || '/' || stem, null, 'x' from items where streamer <> '0' union all select name, 0.25::double, null from synth)", T.USER_FRAMES, T.MANIFEST, ("synth", f"select name from ({NAMES}) where event_id < 200")))
+@query("o1_union_sources", T.sql("select vod, weight, focus from (select streamer || '/' || stem as vod, 12.0::double as weight, null::varchar as focus from items where streamer = '0' union all select streamer || '/' || stem, null, 'x' from items where streamer <> '0' union all select name, 0.25::double, null from synth)", T.USER_FRAMES, T.MANIFEST, ("synth", f"select name from ({NAMES})")))
 def o1(spark, d):
     m = X.manifest(spark, d).withColumn("vod", F.concat_ws("/", "streamer", "stem"))
     gold = m.where("streamer = '0'").select("vod", F.lit(12.0).alias("weight"))
@@ -186,7 +186,7 @@ def o3(spark, d):
     return j.where(F.array_contains(F.json_object_keys("j"), "focus") & ~F.col("name").startswith("voc") & ~F.col("name").contains("plain_1")).select("name")
 
 
-@query("o4_chunk_concat", T.sql("select vod_id, string_agg(round(prob * 100)::int::varchar, ',' order by frame_idx) as series from frames where vod_id = 'view' group by vod_id", T.FRAMES))
+@query("o4_chunk_concat", T.sql("select vod_id, string_agg(round(prob * 100)::int::varchar, ',' order by frame_idx) as series from frames group by vod_id", T.FRAMES))
 def o4(spark, d):
     """Chunks of a series, each an array, one after the other again."""
     x = X.frames(spark, d).withColumn("chunk_id", F.floor(F.col("frame_idx") / 64))
@@ -249,12 +249,12 @@ def f6(spark, d):
     return x.select("vod_id", "seg_no", "ts", M.iou(F.col("start"), F.col("end"), F.col("ts"), F.col("te")).alias("iou"))
 
 
-@query("f7_truncate", T.sql("select frame_idx, trunc(round(frame_idx / 3.125::double, 2) * 3.125::double)::int as back from frames where vod_id = 'view'", T.FRAMES))
+@query("f7_truncate", T.sql("select vod_id, frame_idx, trunc(round(frame_idx / 3.125::double, 2) * 3.125::double)::int as back from frames", T.FRAMES))
 def f7(spark, d):
     return X.frames(spark, d).select("vod_id", "frame_idx", (F.round(F.col("frame_idx") / F.lit(3.125), 2) * 3.125).cast("int").alias("back"))
 
 
-@query("f8_round_half_even", T.sql("select frame_idx, round_even(frame_idx * 0.5::double, 0)::int as near from frames where vod_id = 'view'", T.FRAMES))
+@query("f8_round_half_even", T.sql("select vod_id, frame_idx, round_even(frame_idx * 0.5::double, 0)::int as near from frames", T.FRAMES))
 def f8(spark, d):
     return X.frames(spark, d).select("vod_id", "frame_idx", F.rint(F.col("frame_idx") * 0.5).cast("int").alias("near"))
 

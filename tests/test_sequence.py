@@ -187,3 +187,20 @@ def test_one_exchange(spark, tmp_path):
     x = S.probs_to_segments(spark.read.parquet(p), PostProcessConfig())
     plan = x._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_missing_frames_are_below_all_others_when_smoothed(spark):
+    """Of three frames with a missing middle one the median is the lower of the two others; where most are missing it is missing."""
+    rows = [("a", i, p) for i, p in enumerate([0.1, float("nan"), 0.9, 0.2, None, 0.8, 0.7])] + [("b", 0, None), ("b", 1, None), ("b", 2, 0.9)]
+    got = S.smooth(spark.createDataFrame(rows, "vod_id string, frame_idx int, prob double"), 3)
+    got = {(r.vod_id, r.frame_idx): r.prob for r in got.collect()}
+    assert [got["a", i] for i in range(7)] == [0.1, 0.1, 0.2, 0.2, 0.2, 0.7, 0.7]
+    assert [got["b", i] for i in range(3)] == [None, None, 0.9]
+    runs = S.hysteresis_runs(S.smooth(spark.createDataFrame([("c", i, p) for i, p in enumerate([0.1, None, 0.9, None, 0.1])], "vod_id string, frame_idx int, prob double"), 3), 0.6, 0.4)
+    assert runs.count() == 0
+
+
+def test_votes_without_a_value_are_against(spark):
+    rows = [("a", i, v) for i, v in enumerate([True, None, True, None, None, True])]
+    got = S.vote(spark.createDataFrame(rows, "vod_id string, frame_idx int, c boolean"), 3, "c").orderBy("frame_idx").collect()
+    assert [r.c for r in got] == [True, True, False, False, False, True]
