@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
-from ..schemas import FeatureConfig
+from ..schemas import FeatureConfig, WindowConfig
 
 
 def frames_of(x: np.ndarray, size: int, hop: int) -> np.ndarray:
@@ -76,24 +78,43 @@ def semitones(f0: np.ndarray) -> np.ndarray:
     return 12 * np.log2(np.maximum(f0, 1.0) / 55.0)
 
 
-def resample(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation onto the new grid."""
+def resample(x: np.ndarray, rate: int, to: int, zeros: int = 6, rolloff: float = 0.99) -> np.ndarray:
+    """Band-limited resampling (J. O. Smith's windowed sinc): each output sample is a weighted sum of the input around it, by a sinc that ends
+    at its `zeros`-th zero under a squared cosine, cut off at rolloff times the lower of both half rates. Beyond its ends x is 0."""
+    x = np.asarray(x, np.float32)
     if rate == to or not len(x):
-        return np.asarray(x, np.float32)
-    n = int(round(len(x) * to / rate))
-    return np.interp(np.arange(n) * rate / to, np.arange(len(x)), x).astype(np.float32)
-
-
-def augment(mel: np.ndarray, rng: np.random.Generator, gain_db: float = 4.0, freq_mask: int = 12, time_mask: int = 60, n_masks: int = 2) -> np.ndarray:
-    """Random gain (log domain) and masks of bands and times, each filled with the mean as it then is."""
+        return x
+    step = math.gcd(rate, to)
+    old, new = rate // step, to // step
+    cut = min(old, new) * rolloff / old  # cycles of the sinc for each input sample
+    reach = math.ceil(zeros / cut)
+    n = -(-len(x) * new // old)
+    near = np.lib.stride_tricks.sliding_window_view(np.pad(x.astype(np.float64), (reach, reach + old + 1)), 2 * reach + 2)
+    out = np.empty(n)
+    for phase in range(min(new, n)):
+        at, part = divmod(phase * old, new)
+        u = (np.arange(-reach, reach + 2) - part / new) * cut
+        taps = np.where(np.abs(u) <= zeros, np.sinc(u) * np.cos(np.pi * u / (2 * zeros)) ** 2 * cut, 0.0)
+        rows = len(range(phase, n, new))
+        out[phase::new] = near[at : at + (rows - 1) * old + 1 : old] @ taps
+    return out.astype(np.float32)
+
+
+def augment(mel: np.ndarray, rng: np.random.Generator, cfg: WindowConfig = WindowConfig()) -> np.ndarray:
+    """Of a window [T, n_mels] in the log domain: random gain; with bandlimit_prob all bands from a drawn one on become the smallest value; masks of
+    bands and times, each filled with the mean as it then is. Widths are drawn from 1 on."""
     m = np.array(mel, np.float64)
-    m += rng.uniform(-gain_db, gain_db) * np.log(10) / 10
-    for _ in range(n_masks):
-        for axis, most in ((1, freq_mask), (0, time_mask)):
-            n = m.shape[axis]
-            width = int(rng.integers(0, min(most, n) + 1))
-            start = int(rng.integers(0, n - width + 1))
-            part = [slice(None), slice(None)]
-            part[axis] = slice(start, start + width)
-            m[tuple(part)] = m.mean()
+    times, bands = m.shape
+    m += rng.uniform(-cfg.gain_db, cfg.gain_db) * np.log(10) / 20
+    if cfg.bandlimit_prob > 0 and rng.random() < cfg.bandlimit_prob and cfg.min_band < bands:
+        m[:, rng.integers(cfg.min_band, bands) :] = m.min()
+    for _ in range(cfg.n_masks):
+        for along, size, most in ((m.T, bands, cfg.freq_mask), (m, times, cfg.time_mask)):
+            start = rng.integers(0, max(1, size - most))
+            along[start : start + rng.integers(1, most + 1)] = m.mean()
     return m
+
+
+def to_pcm16(x: np.ndarray) -> np.ndarray:
+    """Samples clamped to [-1, 1] as 16-bit integers, halves to even."""
+    return np.rint(np.clip(np.asarray(x, np.float64), -1, 1) * 32767).astype("<i2")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Fixed patterns of recording ids and pages in addresses.
 BV, AV, PAGE = r"(BV[0-9A-Za-z]{10})", r"(?i)av(\d+)", r"[?&]p=(\d+)"
+ILLEGAL = r"[\\/:*?\"<>|\s]+"
 HOSTS = ("bilibili.com", "b23.tv")
 
 
@@ -46,7 +47,7 @@ def is_address(c: Column) -> Column:
 
 def safe_name(c: Column, default: str = "video") -> Column:
     """Characters that file names can't have, and white space, become _; no _ at the ends; 80 characters."""
-    x = F.regexp_replace(c, r"[\\/:*?\"<>|\s]+", "_")
+    x = F.regexp_replace(c, ILLEGAL, "_")
     x = F.substring(F.regexp_replace(x, "^_+|_+$", ""), 1, 80)
     return F.coalesce(F.nullif(x, F.lit("")), F.lit(default))
 

@@ -32,28 +32,28 @@ def with_focus(items: DataFrame, spans: DataFrame) -> DataFrame:
     return items.join(f, KEY, "left")
 
 
-def uniform(seed: int, *parts) -> Column:
-    """A number in [0, 1) from a hash."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *parts), 11)
-    return bits.cast("double") / F.lit(float(1 << 53))
+def uniform(seed: int, *parts: Column) -> Column:
+    """A number in [0, 1) from a hash of the seed and whole numbers or texts; null counts as 'null'."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(p.cast("string"), F.lit("null")) for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def weighted_choice(items: DataFrame, draws: DataFrame, weight: str, seed: int) -> DataFrame:
-    """draws(i) with the item each takes by weight. Items' shares of [0, 1) are cut into equal cells, so that the join has a key."""
-    w = F.coalesce(F.nullif(F.col(weight), F.lit(0.0)), F.lit(1.0))
-    every, upto = W.partitionBy(), W.orderBy(KEY)
-    x = items.withColumn("_w", w / F.sum(w).over(every)).withColumn("_hi", F.sum("_w").over(upto.rowsBetween(W.unboundedPreceding, 0))).withColumn("_lo", F.col("_hi") - F.col("_w"))
-    last = F.row_number().over(W.orderBy(F.desc(KEY))) == 1
-    x = x.withColumn("_hi", F.when(last, 1.0).otherwise(F.col("_hi")))
+    """draws(i) with the item (a recording's row) each takes by weight; a weight of 0 or null counts as 1. Items' shares of [0, 1) are cut into
+    equal cells, so that the join has a key."""
+    w = F.coalesce(F.nullif(F.col(weight).cast("double"), F.lit(0.0)), F.lit(1.0))
+    upto = W.orderBy(KEY).rowsBetween(W.unboundedPreceding, 0)
+    x = items.withColumn("_w", w).withColumn("_all", F.sum("_w").over(W.partitionBy())).withColumn("_sum", F.sum("_w").over(upto))
+    x = x.withColumn("_hi", F.col("_sum") / F.col("_all")).withColumn("_lo", (F.col("_sum") - F.col("_w")) / F.col("_all"))
     cells = 1024
     x = x.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * cells), F.least(F.floor(F.col("_hi") * cells), F.lit(cells - 1)))))
     d = draws.withColumn("_u", uniform(seed, F.col("i"))).withColumn("_cell", F.floor(F.col("_u") * cells))
-    return d.join(x, "_cell").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).drop("_u", "_cell", "_lo", "_hi", "_w")
+    return d.join(x, "_cell").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).drop("_u", "_cell", "_lo", "_hi", "_w", "_sum", "_all")
 
 
 def crop_start(n: Column, window: int, seed: int, *parts) -> Column:
-    """A uniform start that keeps the window inside."""
-    return F.floor(uniform(seed, *parts) * (F.greatest(F.lit(0), n - window) + 1)).cast("int")
+    """A uniform start below n - window, 0 for a window as long as the recording."""
+    return F.floor(uniform(seed, *parts) * F.greatest(F.lit(1), n - window)).cast("int")
 
 
 def clip_start(start: Column, n: Column, window: int) -> Column:

@@ -19,6 +19,25 @@ def chunk_starts(recordings: DataFrame, n: str, size: int, overlap: int) -> Data
     return x.withColumn("start", F.col("chunk_id") * step).withColumn("stop", F.least(F.col("start") + size, F.col(n)).cast("int"))
 
 
+def sample_chunks(recordings: DataFrame, n: str, size: int, overlap: int, per_frame: float, least: int = 0) -> DataFrame:
+    """recordings with chunk_id, start, stop in samples and first_frame: the output frame that a chunk's scores begin at, its start in frames cut to
+    a whole number. A chunk shorter than `least` samples isn't scored."""
+    x = chunk_starts(recordings, n, size, overlap).where(F.col("stop") - F.col("start") >= least)
+    return x.withColumn("first_frame", (F.col("start") / F.lit(float(per_frame))).cast("int"))
+
+
+def placed(scores: DataFrame, chunks: DataFrame, frames: DataFrame) -> DataFrame:
+    """vod_id, frame_idx, prob of scores(vod_id, chunk_id, i, prob) at their chunks' first frames; those beyond a recording's frames(vod_id, n) go."""
+    x = scores.join(chunks.select(KEY, "chunk_id", "first_frame"), [KEY, "chunk_id"]).join(frames.select(KEY, "n"), KEY)
+    return x.select(KEY, "chunk_id", (F.col("first_frame") + F.col("i")).cast("int").alias("frame_idx"), "prob", "n").where(F.col("frame_idx") < F.col("n")).drop("n")
+
+
+def trimmed(chunks: DataFrame, lead: int) -> DataFrame:
+    """Frames (vod_id, chunk_id, frame_idx) of chunks (start, stop) without the first `lead` of each, which only lead in; at a recording's start there are fewer."""
+    x = chunks.select(KEY, "chunk_id", "start", F.explode(F.sequence(F.lit(0), F.col("stop") - F.col("start") - 1)).alias("k"))
+    return x.where(F.col("k") >= F.least(F.col("start"), F.lit(lead))).select(KEY, "chunk_id", (F.col("start") + F.col("k")).alias("frame_idx"))
+
+
 def tiles(recordings: DataFrame, n: str, window: int) -> DataFrame:
     """recordings with start: windows side by side, a tail dropped; a short recording has one."""
     return recordings.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col(n).cast("int") - window), F.lit(window))).alias("start"))

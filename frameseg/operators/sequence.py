@@ -162,3 +162,30 @@ def rasterise(grid: DataFrame, spans: DataFrame, rate: float, half_even: bool =
     at = spans.select(KEY, F.greatest(F.lit(0), s).alias("a"), e.alias("b")).where("a < b")
     covered = at.select(KEY, F.explode(F.sequence("a", F.col("b") - 1)).alias("frame_idx")).distinct().withColumn("inside", F.lit(1))
     return grid.join(covered, [KEY, "frame_idx"], "left").withColumn("inside", F.coalesce("inside", F.lit(0)))
+
+
+def standardise(frames: DataFrame, size: int, value: str = "prob", tiny: float = 1e-8) -> DataFrame:
+    """frames with mean, scale (sample deviation and a little) and z of each piece of `size` frames; z * scale + mean is the value again."""
+    w = W.partitionBy(KEY, F.floor(F.col("frame_idx") / size))
+    x = frames.withColumn("mean", F.avg(value).over(w)).withColumn("scale", F.stddev_samp(value).over(w) + tiny)
+    return x.withColumn("z", (F.col(value) - F.col("mean")) / F.col("scale"))
+
+
+def timeline_offsets(frames: DataFrame, rate: float, apart: float = 3600.0) -> DataFrame:
+    """vod_id, t_off: where each recording begins on one timeline, in the order of vod_id, so that none meet. A row for each recording."""
+    n = frames.groupBy(KEY).agg((F.count("*") / F.lit(float(rate)) + apart).alias("_len"))
+    return n.select(KEY, F.coalesce(F.sum("_len").over(W.orderBy(KEY).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("t_off"))
+
+
+def short_pool(frames: DataFrame, value: str = "prob") -> DataFrame:
+    """frames with pooled: the largest of three neighbours plus the mean of three, of which those beyond the ends count as 0."""
+    w = over().rowsBetween(-1, 1)
+    return frames.withColumn("pooled", F.max(value).over(w) + F.sum(value).over(w) / 3)
+
+
+def padded_tiles(frames: DataFrame, size: int, **fill) -> DataFrame:
+    """frames with tile (from 0): tiles of `size` frames side by side, the last one filled up with frames that have these values."""
+    n = frames.groupBy(KEY).agg(F.count("*").alias("n")).where(F.col("n") % size > 0)
+    more = n.select(KEY, F.explode(F.sequence(F.col("n"), F.ceil(F.col("n") / size) * size - 1)).alias("frame_idx")).withColumns({c: F.lit(v) for c, v in fill.items()})
+    x = frames.select(KEY, F.col("frame_idx").cast("long").alias("frame_idx"), *fill).unionByName(more)
+    return x.withColumn("tile", F.floor(F.col("frame_idx") / size))

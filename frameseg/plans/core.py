@@ -131,10 +131,8 @@ def p16(spark, d):
 
 @query("p17_standardise", T.sql("select vod_id, frame_idx, round((prob - m) / (s + 1e-8::double), 6) as z, round((prob - m) / (s + 1e-8::double) * (s + 1e-8::double) + m, 6) as back from (select *, avg(prob) over w as m, stddev_samp(prob) over w as s from frames window w as (partition by vod_id, frame_idx // 64))", T.FRAMES))
 def p17(spark, d):
-    w = W.partitionBy("vod_id", F.floor(F.col("frame_idx") / 64))
-    x = X.frames(spark, d).withColumn("m", F.avg("prob").over(w)).withColumn("s", F.stddev_samp("prob").over(w))
-    z = (F.col("prob") - F.col("m")) / (F.col("s") + 1e-8)
-    return x.select("vod_id", "frame_idx", F.round(z, 6).alias("z"), F.round(z * (F.col("s") + 1e-8) + F.col("m"), 6).alias("back"))
+    x = S.standardise(X.frames(spark, d), 64)
+    return x.select("vod_id", "frame_idx", F.round("z", 6).alias("z"), F.round(F.col("z") * F.col("scale") + F.col("mean"), 6).alias("back"))
 
 
 # sequence operators
@@ -217,8 +215,7 @@ def w12(spark, d):
 
 @query("w13_timeline_offset", T.sql("select vod_id, coalesce(sum(n / 0.5::double + 3600) over (order by vod_id rows between unbounded preceding and 1 preceding), 0) as t_off from (select vod_id, count(*) as n from frames group by vod_id)", T.FRAMES))
 def w13(spark, d):
-    x = X.frames(spark, d).groupBy("vod_id").agg((F.count("*") / F.lit(RATE) + 3600).alias("len"))
-    return x.select("vod_id", F.coalesce(F.sum("len").over(W.orderBy("vod_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("t_off"))
+    return S.timeline_offsets(X.frames(spark, d), RATE)
 
 
 HISTORY = "select orderkey as step, round(score, 4) as score from (select o_custkey as orderkey, max(o_totalprice) / 100000 as score from orders group by o_custkey)"
@@ -250,14 +247,19 @@ def w16(spark, d):
 
 @query("w18_short_pooling", T.sql("select vod_id, frame_idx, round(max(prob) over w + coalesce(sum(prob) over w, 0) / 3, 6) as pooled from frames window w as (partition by vod_id order by frame_idx rows between 1 preceding and 1 following)", T.FRAMES))
 def w18(spark, d):
-    w = S.over().rowsBetween(-1, 1)
-    return X.frames(spark, d).select("vod_id", "frame_idx", F.round(F.max("prob").over(w) + F.sum("prob").over(w) / 3, 6).alias("pooled"))
+    return S.short_pool(X.frames(spark, d)).select("vod_id", "frame_idx", F.round("pooled", 6).alias("pooled"))
 
 
 @query("w19_overlap_trim", T.sql("select vod_id, chunk_id, start + k as frame_idx from (select vod_id, chunk_id, start, stop, unnest(range(0, stop - start)) as k from chunks) where k >= least(start, 16)", T.FRAMES, CHUNKS))
 def w19(spark, d):
-    x = w16(spark, d).select("vod_id", "chunk_id", "start", F.explode(F.sequence(F.lit(0), F.col("stop") - F.col("start") - 1)).alias("k"))
-    return x.where(F.col("k") >= F.least(F.col("start"), F.lit(16))).select("vod_id", "chunk_id", (F.col("start") + F.col("k")).alias("frame_idx"))
+    return C.trimmed(w16(spark, d), 16)
+
+
+@query("w16_sample_chunks", T.sql("select vod_id, c as chunk_id, c * 5700 as start, trunc(c * 5700 / 320::double / 16)::int as first_frame from (select vod_id, unnest(range(0, greatest(0, ceil((n * 16 * 320 - 6000) / 5700::double))::int + 1)) as c, n * 16 * 320 as n from (select vod_id, count(*) as n from frames group by vod_id)) where least(c * 5700 + 6000, n) - c * 5700 >= 1024", T.FRAMES))
+def w16_samples(spark, d):
+    """Chunks in samples: their first output frames are cut to whole numbers."""
+    n = X.frames(spark, d).groupBy("vod_id").agg((F.count("*") * 16 * 320).alias("n"))
+    return C.sample_chunks(n, "n", 6000, 300, 16 * 320, 1024).select("vod_id", "chunk_id", F.col("start").cast("long").alias("start"), "first_frame")
 
 
 # joins
@@ -476,7 +478,24 @@ def a20(spark, d):
     return X.table(spark, d, "orders").select("o_orderkey", (F.floor((F.col("o_totalprice") / 1000 + F.col("o_custkey")) / F.greatest(F.lit(1.0), F.col("o_custkey").cast("double")) * 10000 + 0.5) / 10000).alias("rtf"))
 
 
-@query("u6_greedy_match")
+GREEDY = """
+with recursive {ctes},
+p as (select vod_id, start as ps, "end" as pe, row_number() over (partition by vod_id order by start, "end") as n from pred),
+t as (select vod_id, start as ts, "end" as te, row_number() over (partition by vod_id order by start, "end") as k from truth),
+pairs as (select p.vod_id, n, k, ps, pe, ts, te, (least(pe, te) - greatest(ps, ts)) / (greatest(pe, te) - least(ps, ts)) as iou from p join t on p.vod_id = t.vod_id and ps < te and ts < pe),
+offers as (select p.vod_id, p.n, list({{'iou': iou, 'k': k}} order by iou desc, k) filter (iou is not null) as l from p left join pairs on p.vod_id = pairs.vod_id and p.n = pairs.n group by p.vod_id, p.n),
+walk as (
+  select vod_id, 0::bigint as n, []::bigint[] as taken, null::bigint as won from (select distinct vod_id from p)
+  union all
+  select vod_id, n, case when won is null then taken else list_append(taken, won) end, won from (
+    select w.vod_id, o.n, w.taken, case when list_filter(o.l, lambda x: not list_contains(w.taken, x.k))[1].iou >= 0.3::double then list_filter(o.l, lambda x: not list_contains(w.taken, x.k))[1].k end as won
+    from walk w join offers o on o.vod_id = w.vod_id and o.n = w.n + 1)
+)
+select vod_id, ps, pe, ts, te, iou from walk join pairs using (vod_id, n) where k = won
+"""
+
+
+@query("u6_greedy_match", GREEDY.format(ctes=T.sql("", *EVENTS).removeprefix("with ").rstrip()))
 def u6(spark, d):
     return M.match(*_pred_true(spark, d), threshold=0.3)
 

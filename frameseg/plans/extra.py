@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,12 +12,14 @@ from .. import fixtures as X
 from ..functions import dsp
 from ..functions import text as TX
 from ..operators import labelling as L
+from ..operators import losses
 from ..operators import manifests as MF
 from ..operators import metrics as M
 from ..operators import scoring as C
 from ..operators import sequence as S
-from ..schemas import FeatureConfig, MANIFEST
-from ..sources import archives, audio, connectors, tables
+from ..operators import synthesis as Y
+from ..schemas import FeatureConfig, WindowConfig
+from ..sources import archives, audio, connectors, files, tables
 from . import sqltext as T
 from .base import CFG, PCFG, RATE, query
 from .core import EVENTS, HISTORY, NAMES, _history, _pred_true
@@ -37,84 +41,117 @@ def s3(spark, d):
     return X.frames(spark, d).where("frame_idx between 40 and 59")
 
 
+@query("s2_feature_cache", T.sql("select vod_id, frame_idx, round(prob * prob, 6) as power from frames", T.FRAMES))
+def s2(spark, d):
+    """The cache is made in two steps, the second of which computes only what the first lacks."""
+    f, at = X.frames(spark, d), files.shared_folder(spark, "cache")
+    power = lambda x: x.select("vod_id", "frame_idx", F.round(F.col("prob") * F.col("prob"), 6).alias("power"))
+    tables.cache_missing(f.where("vod_id < 'f'"), power, at, "vod_id")
+    return tables.cache_missing(f, power, at, "vod_id")
+
+
 @query("s4_marker_scan", T.sql(f'select vod_id, s as start, s + d as "end" from (select vod_id, {SECONDS.format(c=chr(34) + "Start" + chr(34))} as s, {SECONDS.format(c=chr(34) + "Duration" + chr(34))} as d from marks) where d > 0', T.LABELS, T.truth(), MARKS))
 def s4(spark, d):
-    return tables.markers(_markers(spark, d))
+    at = files.shared_folder(spark, "markers")
+    t = M.truth_segments(X.labels(spark, d), RATE, 90)
+    empty = t.groupBy("vod_id").agg(F.min("start").alias("start")).select("vod_id", "start", F.col("start").alias("end"))  # a marker without length
+    tables.write_markers(t.unionByName(empty).select("vod_id", (F.col("start") + 0.25).alias("start"), (F.col("end") + 0.25).alias("end")), at)
+    return tables.read_markers(spark, at)
 
 
-@query("s5_manifest_scan", T.sql("select streamer || '/' || stem as vod, n_frames::double as pos_seconds from items", T.USER_FRAMES, T.MANIFEST))
+@query("s5_manifest_scan", T.sql("select streamer || '/' || stem as vod, n_frames::double as pos_seconds, case when streamer = '0' then 12.0::double end as weight from items", T.USER_FRAMES, T.MANIFEST))
 def s5(spark, d):
-    vod = F.concat_ws("/", "streamer", "stem")
-    text = X.manifest(spark, d).select(F.to_json(F.struct(vod.alias("vod"), F.col("n_frames").cast("double").alias("pos_seconds"))).alias("j"))
-    return text.select(F.from_json("j", MANIFEST).alias("m")).select("m.vod", "m.pos_seconds")
+    at, weight = files.shared_folder(spark, "manifest"), F.when(F.col("streamer") == "0", 12.0)
+    tables.write_manifest(X.manifest(spark, d).select(F.concat_ws("/", "streamer", "stem").alias("vod"), F.col("n_frames").cast("double").alias("pos_seconds"), weight.alias("weight")), at)
+    return tables.read_manifest(spark, at).select("vod", "pos_seconds", "weight")
 
 
 @query("s6_segment_scan", T.sql('select vod_id, start, "end" from pseudo where positive', T.FEATURES, T.CANDIDATES, T.PSEUDO))
 def s6(spark, d):
-    x = L.pseudo_segments(X.feature_frames(spark, d), PCFG)
-    files = x.groupBy("vod_id").agg(F.to_json(F.collect_list(F.struct("start", "end", "positive"))).alias("j"))
-    spans = files.select("vod_id", F.inline(F.from_json("j", "array<struct<start:double,end:double,positive:boolean>>")))
-    return spans.where("positive").select("vod_id", "start", "end")
+    at = files.shared_folder(spark, "segments")
+    tables.write_segments(L.pseudo_segments(X.feature_frames(spark, d), PCFG), at)
+    return tables.read_segments(spark, at)
 
 
-def _audio(spark, d):
-    """Values of each event type as samples of a WAV file: path, content."""
-    x = X.frames(spark, d)
+def _wavs(spark, d):
+    """A folder with a WAV file of each event type's values."""
+    at = files.shared_folder(spark, "wav")
+    x = X.frames(spark, d).groupBy("vod_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "prob"))).alias("c"))
+    audio.save_wavs(x.select("vod_id", F.transform("c", lambda c: c["prob"] - 0.5).alias("samples")), at, 8000)
+    return at
 
-    def encode(key, pdf):
 
-        s = pdf.sort_values("frame_idx").prob.to_numpy() - 0.5
-        return pd.DataFrame({"path": [f"/wav/{key[0]}.wav"], "content": [audio.write_wav(s, 8000)]})
+def _audio(spark, d):
+    return spark.read.format("binaryFile").load(_wavs(spark, d))
+
 
-    return x.groupBy("vod_id").applyInPandas(encode, "path string, content binary")
+N = "(select vod_id, count(*) as n from frames group by vod_id)"
 
 
-@query("s1_audio_load")
+@query("s1_audio_load", T.sql(f"select vod_id, c as chunk_id, c * 160 as start_sample, least(160, n - c * 160) as n from (select vod_id, n, unnest(range(0, (n + 159) // 160)) as c from {N})", T.FRAMES))
 def s1(spark, d):
-    return audio.audio_chunks(_audio(spark, d), 8000, 0.02).select("vod_id", "chunk_id", "start_sample", F.size("samples").alias("n"))
+    x = audio.audio_chunks(_audio(spark, d), 8000, 0.02)
+    return x.select("vod_id", F.col("chunk_id").cast("long").alias("chunk_id"), "start_sample", F.size("samples").cast("long").alias("n"))
 
 
-@query("s7_span_read", T.sql("select vod_id, count(*) as n from frames where frame_idx between 100 and 239 group by vod_id", T.FRAMES))
+@query("s7_span_read", T.sql("select vod_id, count(*) as n, sum(round_even((prob - 0.5) * 32767, 0))::bigint as total from frames where frame_idx between 100 and 239 group by vod_id", T.FRAMES))
 def s7(spark, d):
     chunks = audio.audio_chunks(_audio(spark, d), 8000, 0.02)
-    return audio.read_span(chunks, 100, 140).select("vod_id", F.size("samples").cast("long").alias("n"))
+    total = F.aggregate("samples", F.lit(0).cast("long"), lambda a, v: a + F.round(v * 32768).cast("long"))
+    return audio.read_span(chunks, 100, 140).select("vod_id", F.size("samples").cast("long").alias("n"), total.alias("total"))
 
 
-@query("s9_zip_members")
-def s9(spark, d):
-    return _zip(spark, d, True)
+@query("s8_listing", T.sql(f"select 'wav' as streamer, vod_id as stem, 44 + 2 * n as length from {N}", T.FRAMES))
+def s8(spark, d):
+    at = f"{_wavs(spark, d)}/"
+    x = tables.listing(spark, at)
+    return x.select(F.regexp_extract("streamer", "^[a-z]+", 0).alias("streamer"), "stem", "length")
 
 
-@query("s10_partial_zip")
-def s10(spark, d):
-    return _zip(spark, d, False)
-
+def _zips(spark, d, complete):
+    """A folder with the WAV files as archives of two members each; incomplete ones lack their second half."""
 
-def _zip(spark, d, complete):
-    """The WAV files as archives, two members each; incomplete ones lack their last bytes."""
     def pack(batches):
         import io
         import zipfile
 
-
         for b in batches:
             for path, content in zip(b.path, b.content, strict=True):
-                out = io.BytesIO()
+                out, name = io.BytesIO(), path.rpartition("/")[2]
                 with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr("a/info.txt", path)
+                    z.writestr("a/info.txt", name)
                     z.writestr("a/audio.wav", content)
                 data = out.getvalue()
-                yield pd.DataFrame({"path": [path + ".zip"], "content": [data if complete else data[: len(data) // 2]]})
+                yield pd.DataFrame({"name": [name + ".zip"], "content": [data if complete else data[: len(data) // 2]]})
+
+    at = files.shared_folder(spark, "zip")
+    files.write_files(_audio(spark, d).select("path", "content").mapInPandas(pack, "name string, content binary"), at)
+    return at
+
+
+INFO = f"select vod_id || '.wav.zip' as archive, 'a/info.txt' as name, length(vod_id) + 4 as size from {N}"
+
+
+@query("s9_zip_members", T.sql(f"{INFO} union all select vod_id || '.wav.zip', 'a/audio.wav', 44 + 2 * n from {N}", T.FRAMES))
+def s9(spark, d):
+    return archives.members(spark.read.format("binaryFile").load(_zips(spark, d, True))).select("archive", "name", "size")
 
-    files = _audio(spark, d).mapInPandas(pack, "path string, content binary")
-    return archives.members(files, complete).select("archive", "name", "size")
 
+@query("s10_partial_zip", T.sql(INFO, T.FRAMES))
+def s10(spark, d):
+    """Of archives cut in half the members before the cut."""
+    archives.register(spark)
+    found = spark.read.format("binaryFile").load(_zips(spark, d, False)).select("path").collect()  # one name a recording
+    return spark.read.format("partialzip").option("path", ",".join(r.path for r in found)).load().select("archive", "name", "size")
 
-@query("k1_segment_json", T.sql("""select vod_id, string_agg('{"start":' || start::varchar || ',"end":' || "end"::varchar || '}', ',' order by seg_no) as segments from pred group by vod_id""", T.FRAMES, T.songs(), T.pred()))
+
+@query("k1_segment_json", T.sql("""select vod_id, '[' || string_agg('{"start":' || start::varchar || ',"end":' || "end"::varchar || '}', ',' order by start) || ']' as segments from pred group by vod_id""", T.FRAMES, T.songs(), T.pred()))
 def k1(spark, d):
-    x = S.probs_to_segments(X.frames(spark, d), CFG)
-    items = F.transform(F.array_sort(F.collect_list(F.struct("seg_no", "start", "end"))), lambda s: F.to_json(F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    return x.groupBy("vod_id").agg(F.array_join(items, ",").alias("segments"))
+    """The text of the files that are written."""
+    at = files.shared_folder(spark, "result")
+    tables.write_segments(S.probs_to_segments(X.frames(spark, d), CFG).select("vod_id", "start", "end"), at)
+    x = spark.read.option("wholetext", True).text(at).withColumn("vod_id", TX.stem_of(F.input_file_name()))
+    return x.select("vod_id", F.col("value").alias("segments"))
 
 
 @query("k2_cut_plan", T.sql("select vod_id, seg_no, vod_id || '_song' || lpad(seg_no::varchar, greatest(2, length(seg_no::varchar))::int, '0') || '.mp4' as clip, printf('%.2f', greatest(0, s - 5)) as ss, printf('%.2f', e + 5 - greatest(0, s - 5)) as t from pred", T.FRAMES, T.songs(), T.pred()))
@@ -122,10 +159,22 @@ def k2(spark, d):
     return audio.cut_plan(S.probs_to_segments(X.frames(spark, d), CFG))
 
 
-@query("k3_pcm16", T.sql("select vod_id, frame_idx, trunc(least(1, greatest(-1, prob * 3 - 1.5)) * 32767)::int as pcm from frames", T.FRAMES))
+@query("k3_pcm16", T.sql("select vod_id, frame_idx, round_even(least(1, greatest(-1, prob * 3 - 1.5)) * 32767, 0)::int as pcm from frames", T.FRAMES))
 def k3(spark, d):
-    x = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("prob") * 3 - 1.5))
-    return X.frames(spark, d).select("vod_id", "frame_idx", (x * 32767).cast("int").alias("pcm"))
+    """The integers in the WAV files that are written."""
+    at = files.shared_folder(spark, "pcm")
+    x = X.frames(spark, d).groupBy("vod_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "prob"))).alias("c"))
+    audio.save_wavs(x.select("vod_id", F.transform("c", lambda c: c["prob"] * 3 - 1.5).alias("samples")), at, 16_000)
+
+    def integers(batches):
+        import numpy as np
+
+        for b in batches:
+            for path, content in zip(b.path, b.content, strict=True):
+                pcm = np.rint(audio.read_wav(content)[0][:, 0].astype(np.float64) * 32768).astype("int32")
+                yield pd.DataFrame({"vod_id": path.rpartition("/")[2].removesuffix(".wav"), "frame_idx": np.arange(len(pcm), dtype="int32"), "pcm": pcm})
+
+    return spark.read.format("binaryFile").load(at).select("path", "content").mapInPandas(integers, "vod_id string, frame_idx int, pcm int")
 
 
 @query("k4_best_checkpoint", f"select max(score) as score, min(step) filter (score = top) as step from (select *, max(score) over () as top from ({HISTORY}))")
@@ -134,30 +183,41 @@ def k4(spark, d):
     return best.select("b.score", (-F.col("b.s")).alias("step"))
 
 
-@query("j9_remix_pairs")
+PICKS = [
+    ("tn", "select stem as vod_id, row_number() over (order by stem) - 1 as k from items where streamer = '0'"),
+    ("ot", "select stem as vod_id, row_number() over (order by stem) - 1 as k from items where streamer <> '0'"),
+    ("drawn", f"select i, kind, {T.uniform(7, 'kind', 'i', '1')} as u1, {T.uniform(7, 'kind', 'i', '2')} as u2, {T.uniform(7, 'kind', 'i', '3')} as u3 from range(0, 40) r(i), (values ('remix_other'), ('accomp_only'), ('voc_mismatch')) v(kind)"),
+    ("picks", "select kind || '_' || lpad(i::varchar, 3, '0') as clip, kind, case when kind = 'voc_mismatch' then 1 else 0 end as label, tn.vod_id as target, ot.vod_id as other, case kind when 'remix_other' then u3 * 6 - 2 when 'voc_mismatch' then -(u3 * 6 + 2) end as gain_db from drawn join tn on tn.k = floor(u1 * (select count(*) from tn)) left join ot on kind <> 'accomp_only' and ot.k = floor(u2 * (select count(*) from ot))"),
+]
+
+
+def _singers(spark, d):
+    x = X.manifest(spark, d).select("streamer", F.col("stem").alias("vod_id"))
+    return x.where("streamer = '0'"), x.where("streamer <> '0'")
+
+
+@query("j9_remix_pairs", T.sql("select clip, kind, label, target, other, round(gain_db, 9) as gain_db from picks", T.USER_FRAMES, T.MANIFEST, PICKS))
 def j9(spark, d):
-    """Each target recording gets another streamer's by hashed rank, and a gain in dB."""
-    x = X.manifest(spark, d)
-    order = lambda seed: F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), F.col("stem"))))
-    a = x.where("streamer = '0'").select(F.col("stem").alias("target"), order(7).alias("i"))
-    b = x.where("streamer <> '0'").select(F.col("stem").alias("other"), order(8).alias("i"))
-    return a.join(b, "i").select("target", "other", (MF.uniform(7, F.col("target")) * 6 - 2).alias("gain_db"))
+    return Y.remix_pairs(*_singers(spark, d), 40).withColumn("gain_db", F.round("gain_db", 9))
+
+
+#: From what the operator must give: a chunk is 48 frames and up to 16 more; over these it goes from 1 to 0 by a ramp that ends at 0 and 1, while the next goes
+#: from 0 to 1; a last piece of under 16 frames has no chunk of its own.
+FADE = """
+select vod_id, frame_idx, round(case when c > 0 and i < l then v * r + (v - 0.25) * (1 - r) else v end, 9) as s from (
+  select *, prob + 0.25::double * c as v, case when l > 1 then i / (l - 1)::double else 0 end as r from (
+    select vod_id, frame_idx, prob, c, frame_idx - c * 48 as i, least(16, n - c * 48) as l from (
+      select vod_id, frame_idx, prob, n, case when n - (frame_idx // 48) * 48 >= 16 then frame_idx // 48 else frame_idx // 48 - 1 end as c from frames join (select vod_id, count(*) as n from frames group by vod_id) using (vod_id))))
+"""
 
 
-@query("j10_crossfade", T.sql("select vod_id, chunk_id, i, round(case when tail is null or i >= 16 then s else (tail * (16 - i) + s * i) / 16 end, 9) as s from (select c.vod_id, c.chunk_id, f.frame_idx - c.start as i, f.prob as s, case when c.chunk_id > 0 and f.frame_idx - c.start < 16 then f.prob + 0.25::double end as tail from chunks c join frames f on f.vod_id = c.vod_id and f.frame_idx >= c.start and f.frame_idx < c.stop where c.stop - c.start >= 16)", T.FRAMES, ("chunks", "select vod_id, c * 48 as start, least(c * 48 + 64, n) as stop, c as chunk_id from (select vod_id, n, unnest(range(0, greatest(0, ceil((n - 64) / 48::double))::int + 1)) as c from (select vod_id, count(*) as n from frames group by vod_id))")))
+@query("j10_crossfade", T.sql(FADE, T.FRAMES))
 def j10(spark, d):
-    f = X.frames(spark, d)
-    n = f.groupBy("vod_id").agg(F.count("*").alias("n"))
-    x = C.in_chunks(f, n, 64, 16).groupBy("vod_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "prob"))).alias("c"))
-    x = x.select("vod_id", "chunk_id", F.transform("c", lambda c: c["prob"]).alias("samples")).where(F.size("samples") >= 16)
-    # the tail of the chunk before is shifted, so that the fade shows
-    tail = F.transform("samples", lambda v, i: F.when(i >= F.size("samples") - 16, v + 0.25).otherwise(v))
-    w = W.partitionBy("vod_id").orderBy("chunk_id")
-    faded = audio.crossfade(x.withColumn("samples", tail), 16)
-    plain = x.select("vod_id", "chunk_id", F.col("samples").alias("own"))
-    out = faded.join(plain, ["vod_id", "chunk_id"]).withColumn("prev", F.lag("own").over(w))
-    shown = F.transform("own", lambda v, i: F.when((i < 16) & F.col("prev").isNotNull(), (F.get(F.slice("prev", -16, 16), i) + 0.25) * (16 - i) / 16 + v * i / 16).otherwise(v))
-    return out.select("vod_id", "chunk_id", F.posexplode(shown).alias("i", "s")).withColumn("s", F.round("s", 9))
+    """Chunks that differ by a constant, so that the fade shows, as one series again."""
+    x = audio.overlapping_chunks(X.frames(spark, d), 48, 16)
+    x = x.withColumn("samples", F.transform("samples", lambda v: v + 0.25 * F.col("chunk_id")))
+    out = audio.crossfade(x, 48, 16).select("vod_id", "chunk_id", F.posexplode("samples").alias("i", "s"))
+    return out.select("vod_id", (F.col("chunk_id") * 48 + F.col("i")).cast("long").alias("frame_idx"), F.round("s", 9).alias("s"))
 
 
 # set operations and sorts
@@ -303,16 +363,17 @@ def f14(spark, d):
     return X.manifest(spark, d).select(path.alias("path")).select(TX.streamer_of(F.col("path")).alias("streamer"), TX.stem_of(F.col("path")).alias("stem"))
 
 
-@query("f15_zip_name", "select c_custkey, c_name as name from customer")
+@query("f15_zip_name", "select c_custkey, translate(c_name, '0123456789', '零一二三四五六七八九') as name from customer")
 def f15(spark, d):
-    """Names mistaken for cp437, put right in batches: Spark's decode has no GBK."""
+    """Names written as GBK and read as cp437."""
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
-    def repair(x: pd.Series) -> pd.Series:
-        return x.map(lambda s: None if s is None else archives.repaired_name(s.encode("cp437"), False))
+    def misread(x: pd.Series) -> pd.Series:
+        return x.map(lambda s: s.encode("gbk").decode("cp437"))
 
-    return X.table(spark, d, "customer").select("c_custkey", repair("c_name").alias("name"))
+    name = F.translate("c_name", "0123456789", "零一二三四五六七八九")
+    return X.table(spark, d, "customer").select("c_custkey", archives.repaired_names(misread(name)).alias("name"))
 
 
 @query("f16_json_fields", "select event_id, json_extract_string(props, '$.k')::int as k from events")
@@ -327,61 +388,63 @@ def f17(spark, d):
     return X.manifest(spark, d).select("stem", F.coalesce(F.nullif(w, F.lit(0.0)), F.lit(1.0)).alias("weight"))
 
 
-@query("f18_loss", T.sql("select vod_id, round(sum(case when label >= 0 then -(case when label = 1 then ln(greatest(prob, 1e-12::double)) else ln(greatest(1 - prob, 1e-12::double)) end) else 0 end) / greatest(count(*) filter (label >= 0), 1), 6) as bce, round(sum(case when label = -1 then -ln(greatest(1 - prob, 1e-12::double)) else 0 end) / greatest(count(*) filter (label = -1), 1), 6) as not_target from frames join labs using (vod_id, frame_idx) group by vod_id", T.FRAMES, T.LABELS))
+#: Labels -1 to 4 by turns.
+LOSS = """
+select vod_id,
+  round(coalesce(sum(case when y >= 0 then greatest(x, 0) - x * least(1, y) + ln(1 + exp(-abs(x))) end), 0) / greatest(count(*) filter (y >= 0), 1), 6) as binary_loss,
+  round(coalesce(sum(case when y = 4 then -ln(1 - p1) when y >= 0 then -ln(case y when 0 then p0 when 1 then p1 when 2 then p2 else p3 end) end), 0) / greatest(count(*) filter (y >= 0), 1), 6) as class_loss
+from (select *, exp(l1) / z as p0, exp(l2) / z as p1, exp(l3) / z as p2, exp(l4) / z as p3 from (select vod_id, frame_idx % 6 - 1 as y, l2 * 10 as x, l1, l2, l3, l4, exp(l1) + exp(l2) + exp(l3) + exp(l4) as z from logits)) group by vod_id
+"""
+
+
+@query("f18_loss", T.sql(LOSS, T.LOGITS))
 def f18(spark, d):
-    x = X.frames(spark, d).join(X.labels(spark, d), ["vod_id", "frame_idx"])
-    hit, miss = -F.log(F.greatest(F.col("prob"), F.lit(1e-12))), -F.log(F.greatest(1 - F.col("prob"), F.lit(1e-12)))
-    y = F.col("label")
-    loss = lambda on, v: F.round(F.coalesce(F.sum(F.when(on, v)), F.lit(0.0)) / F.greatest(F.count_if(on), F.lit(1)), 6)
-    return x.groupBy("vod_id").agg(loss(y >= 0, F.when(y == 1, hit).otherwise(miss)).alias("bce"), loss(y == -1, miss).alias("not_target"))
+    x, y = X.logits(spark, d).withColumn("label", F.col("frame_idx") % 6 - 1), F.col("label")
+    return x.groupBy("vod_id").agg(F.round(losses.binary_loss(F.col("logits")[1] * 10, y), 6).alias("binary_loss"), F.round(losses.class_loss("logits", y, 4), 6).alias("class_loss"))
 
 
 @query("f19_learning_rate", "select step, round(3e-4::double * least(1, (step + 1) / 500::double) * 0.5 * (1 + cos(pi() * step / 12000)), 10) as lr from range(0, 12000, 100) t(step)")
 def f19(spark, d):
-    s = F.col("step")
-    lr = 3e-4 * F.least(F.lit(1.0), (s + 1) / F.lit(500.0)) * 0.5 * (1 + F.cos(F.pi() * s / 12000))
-    return spark.range(0, 12000, 100).select(F.col("id").alias("step")).select("step", F.round(lr, 10).alias("lr"))
+    return spark.range(0, 12000, 100).select(F.col("id").alias("step"), F.round(losses.learning_rate(F.col("id")), 10).alias("lr"))
 
 
 @query("f20_augment")
 def f20(spark, d):
-    """Masks and gain on windows of embeddings, drawn from a seed and the window's name."""
+    """Masks, a band limit and gain on windows of embeddings, drawn from a seed and the window's name."""
     import numpy as np
 
+    cfg = WindowConfig(freq_mask=2, time_mask=8, bandlimit_prob=0.5, min_band=1)
+
     def run(key, pdf):
-        m = np.stack(pdf.sort_values("frame_idx").logits.to_numpy())
-        out = dsp.augment(m, np.random.default_rng(int(key[0])), 4.0, 2, 8)
+        out = dsp.augment(np.stack(pdf.sort_values("frame_idx").logits.to_numpy()), np.random.default_rng(int(key[0])), cfg)
         return pd.DataFrame({"vod_id": [key[0]], "n": [out.shape[0]], "mean": [float(out.mean())]})
 
     return X.logits(spark, d).groupBy("vod_id").applyInPandas(run, "vod_id string, n long, mean double")
 
 
-@query("f21_pad", T.sql("select v.vod_id, i as frame_idx, coalesce(f.prob, ln(1e-5::double)) as value, case when l.label is null then 0 else l.label end as label from (select distinct vod_id from frames) v cross join range(180, 260) t(i) left join frames f on f.vod_id = v.vod_id and f.frame_idx = i left join labs l on l.vod_id = v.vod_id and l.frame_idx = i", T.FRAMES, T.LABELS))
+@query("f21_pad", T.sql(f"select v.vod_id, i as frame_idx, i // 80 as tile, round(coalesce(f.prob, ln(1e-5::double)), 9) as value, coalesce(l.label, 0) as label from (select vod_id, unnest(range(0, (n + 79) // 80 * 80)) as i from {N}) v left join frames f on f.vod_id = v.vod_id and f.frame_idx = i left join labs l on l.vod_id = v.vod_id and l.frame_idx = i", T.FRAMES, T.LABELS))
 def f21(spark, d):
-    f = X.frames(spark, d)
-    grid = f.select("vod_id").distinct().select("vod_id", F.explode(F.sequence(F.lit(180), F.lit(259))).alias("frame_idx"))
-    x = grid.join(f, ["vod_id", "frame_idx"], "left").join(X.labels(spark, d), ["vod_id", "frame_idx"], "left")
-    return x.select("vod_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.coalesce("prob", F.log(F.lit(1e-5))).alias("value"), F.coalesce("label", F.lit(0)).alias("label"))
+    x = X.frames(spark, d).join(X.labels(spark, d), ["vod_id", "frame_idx"])
+    x = S.padded_tiles(x, 80, prob=math.log(1e-5), label=0)
+    return x.select("vod_id", "frame_idx", "tile", F.round("prob", 9).alias("value"), "label")
 
 
 # sampling
-@query("m1_weighted_choice")
+@query("m1_weighted_choice", T.sql(f"select i, vod_id from (select i, {T.uniform(7, 'i')} as u from range(0, 2000) r(i)) join (select vod_id, (s - n_frames) / a as lo, s / a as hi from (select vod_id, n_frames::double as n_frames, sum(n_frames::double) over (order by vod_id rows unbounded preceding) as s, sum(n_frames::double) over () as a from items)) on u >= lo and u < hi", T.USER_FRAMES, T.MANIFEST))
 def m1(spark, d):
-    x = X.manifest(spark, d).withColumn("weight", F.col("n_frames").cast("double"))
-    return MF.weighted_choice(x, spark.range(2000).withColumnRenamed("id", "i"), "weight", 7).select("i", "vod_id")
+    return MF.weighted_choice(X.manifest(spark, d), spark.range(2000).withColumnRenamed("id", "i"), "n_frames", 7).select("i", "vod_id")
 
 
-@query("m2_balanced_crop")
+CROPS = f"""
+select vod_id, i, least(greatest(0, case when u1 < 0.5 and rs is not null then r.a + floor(u3 * greatest(r.b - r.a, 1))::bigint - 24 else floor(u4 * greatest(1, n - 48))::bigint end), greatest(0, n - 48)) as start
+from (select *, rs[floor(u2 * len(rs))::int + 1] as r from (select vod_id, i, n, rs, {T.uniform(7, 'vod_id', 'i', '1')} as u1, {T.uniform(7, 'vod_id', 'i', '2')} as u2, {T.uniform(7, 'vod_id', 'i', '3')} as u3, {T.uniform(7, 'vod_id', 'i', '4')} as u4
+  from (select vod_id, count(*) as n from labs group by vod_id) left join (select vod_id, list({{'a': a, 'b': b}} order by a) as rs from r group by vod_id) using (vod_id), range(0, 50) t(i)))
+"""
+
+
+@query("m2_balanced_crop", T.sql(CROPS, T.LABELS, T.islands("r", "labs", "label = 1")))
 def m2(spark, d):
-    """Draws centred in a positive run with probability one half, else anywhere."""
-    runs = S.islands(X.labels(spark, d), F.col("label") == 1).groupBy("vod_id").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("runs"))
-    n = X.labels(spark, d).groupBy("vod_id").agg(F.count("*").alias("n")).join(runs, "vod_id", "left")
-    x = n.select("*", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("i"))
-    u = lambda k: MF.uniform(k, F.col("vod_id"), F.col("i"))
-    run = F.get("runs", F.floor(u(2) * F.size("runs")).cast("int"))
-    centre = run["a"] + F.floor(u(3) * (run["b"] - run["a"]))
-    start = F.when((u(1) < 0.5) & F.col("runs").isNotNull(), centre - 24).otherwise(MF.crop_start(F.col("n"), 48, 4, F.col("vod_id"), F.col("i")))
-    return x.select("vod_id", "i", MF.clip_start(start, F.col("n"), 48).cast("long").alias("start"))
+    return Y.balanced_crops(X.labels(spark, d), 48, 50).withColumn("i", F.col("i").cast("long"))
 
 
 @query("m3_focus_frames", T.sql('select vod_id, trunc(start * 0.5::double)::int as a, greatest(trunc(start * 0.5::double)::int + 1, trunc("end" * 0.5::double)::int) as b from pseudo where positive', T.FEATURES, T.CANDIDATES, T.PSEUDO))
@@ -391,12 +454,9 @@ def m3(spark, d):
     return x.select("vod_id", a.alias("a"), F.greatest(a + 1, (F.col("end") * RATE).cast("int")).alias("b"))
 
 
-@query("m4_span_sample")
+@query("m4_span_sample", T.sql(f"""select vod_id, round(case when n <= 60 then start else start + u * (n - 60) end, 6) as start, least(n, 60) as length from (select vod_id, start, "end" - start as n, {T.uniform(7, 'vod_id', 'round(start * 1000)::bigint')} as u from truth)""", T.LABELS, T.truth()))
 def m4(spark, d):
-    x = M.truth_segments(X.labels(spark, d), RATE, 90)
-    n = F.col("end") - F.col("start")
-    s = F.when(n <= 60, F.col("start")).otherwise(F.col("start") + MF.uniform(5, F.col("vod_id"), F.col("start")) * (n - 60))
-    return x.select("vod_id", s.alias("start"), F.least(n, F.lit(60.0)).alias("length"))
+    return Y.span_samples(M.truth_segments(X.labels(spark, d), RATE, 90), 60).withColumn("start", F.round("start", 6))
 
 
 @query("m5_crop_clip", T.sql("select vod_id, i, least(greatest(0, i * 37 - 24), greatest(0, n - 48)) as start from (select vod_id, count(*) as n from user_frames group by vod_id) cross join range(0, 4) t(i)", T.USER_FRAMES))
@@ -406,17 +466,22 @@ def m5(spark, d):
     return x.select("vod_id", "i", MF.clip_start(F.col("i") * 37 - 24, F.col("n"), 48).alias("start"))
 
 
-@query("m6_synthesis")
+#: Voices are the short recordings' values, music what they lack to 1.
+MIX = """
+select clip, label, count(*) as n, round(sum(least(1, greatest(-1, base + coalesce(more * pow(10, (db(lb) - db(lm) + gain_db) / 20), 0)))), 6) as total from (
+  select *, sqrt(avg(base * base) over (partition by clip)) as lb, sqrt(avg(more * more) over (partition by clip)) as lm from (
+    select clip, kind, label, gain_db, t.frame_idx, case when kind = 'voc_mismatch' then t.prob else 1 - t.prob end as base, case when kind = 'remix_other' then o.prob when kind = 'voc_mismatch' then 1 - o.prob end as more
+    from picks join uf t on t.stem = target left join uf o on o.stem = other and o.frame_idx = t.frame_idx where other is null or o.stem is not null)) group by clip, label
+""".replace("db(lb)", "20 * log10(lb + 1e-8::double)").replace("db(lm)", "20 * log10(lm + 1e-8::double)")
+
+
+@query("m6_synthesis", T.sql(MIX, T.USER_FRAMES, T.MANIFEST, PICKS, ("uf", "select stem, frame_idx, prob from user_frames join items using (vod_id)")))
 def m6(spark, d):
-    """Two recordings, levels matched by RMS and a drawn offset, added sample by sample."""
-    x = X.user_frames(spark, d).groupBy("vod_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "prob"))).alias("c"))
-    x = x.select("vod_id", F.transform("c", lambda c: c["prob"]).alias("s")).withColumn("i", F.row_number().over(W.orderBy("vod_id")))
-    rms = lambda s: F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, v: a + v * v) / F.size(s))
-    a, b = x.select(F.col("vod_id").alias("voice"), F.col("s").alias("sa"), "i"), x.select(F.col("vod_id").alias("music"), F.col("s").alias("sb"), (F.col("i") - 1).alias("i"))
-    y = a.join(b, "i").withColumn("db", MF.uniform(9, F.col("voice")) * 6 - 2)
-    gain = F.pow(F.lit(10.0), (20 * F.log10(rms("sa") + 1e-8) - 20 * F.log10(rms("sb") + 1e-8) - F.col("db")) / 20)
-    both = F.zip_with("sa", "sb", lambda p, q: F.coalesce(p, F.lit(0.0)) + F.coalesce(q, F.lit(0.0)) * F.col("gain"))
-    return y.withColumn("gain", gain).select("voice", "music", F.col("db"), F.size(both).alias("n"), F.array_max(both).alias("peak"))
+    x = X.user_frames(spark, d).groupBy(F.lpad("vod_id", 6, "0").alias("vod_id")).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "prob"))).alias("c"))
+    stems = x.select("vod_id", F.transform("c", lambda c: c["prob"]).alias("voice"), F.transform("c", lambda c: 1 - c["prob"]).alias("music"))
+    out = Y.synthesize(*_singers(spark, d), stems, 40)
+    total = F.aggregate("samples", F.lit(0.0), lambda a, v: a + v)
+    return out.select("clip", "label", F.size("samples").cast("long").alias("n"), F.round(total, 6).alias("total"))
 
 
 # plug points
@@ -455,11 +520,11 @@ def u8(spark, d):
     return _signal(spark, d, f, "vod_id string, frame_idx int, f0 double")
 
 
-@query("w17_framed_rms")
+@query("w17_framed_rms", T.sql("select vod_id, frame_idx // 16 as frame_idx, round(20 * log10(sqrt(e) + 1e-8::double), 6) as db from (select vod_id, frame_idx, avg((prob - 0.5) * (prob - 0.5)) over w as e, count(*) over w as n from frames window w as (partition by vod_id order by frame_idx rows between current row and 63 following)) where frame_idx % 16 = 0 and n = 64", T.FRAMES))
 def w17(spark, d):
 
     def f(vod, x):
         y = dsp.frame_db(x, 64, 16)
         return pd.DataFrame({"vod_id": vod, "frame_idx": range(len(y)), "db": y})
 
-    return _signal(spark, d, f, "vod_id string, frame_idx int, db double")
+    return _signal(spark, d, f, "vod_id string, frame_idx long, db double").withColumn("db", F.round("db", 6))

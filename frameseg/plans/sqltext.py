@@ -26,6 +26,12 @@ LOGITS = ("logits", "select label::varchar as vod_id, row_number() over (partiti
 MANIFEST = ("items", "select vod_id, (vod_id::bigint % 4)::varchar as streamer, lpad(vod_id, 6, '0') as stem, count(*) as n_frames from user_frames group by vod_id")
 
 
+def uniform(seed: int, *parts: str) -> str:
+    """operators.manifests.uniform."""
+    text = " || ':' || ".join([f"'{seed}'", *(f"coalesce(({p})::varchar, 'null')" for p in parts)])
+    return f"(('0x' || md5({text})[1:13])::bigint::double / {1 << 52}::double)"
+
+
 def reflect(name: str, source: str, h: int) -> tuple[str, str]:
     """Rows j from -h to n + h - 1 by mirrored index."""
     return name, f"""select n.vod_id, j, f.* exclude (vod_id) from (select vod_id, n, unnest(range(-{h}, n + {h})) as j from (select vod_id, count(*) as n from {source} group by vod_id)) n

@@ -16,6 +16,7 @@ MANIFEST = "mel string, label string, vod string, focus array<struct<s:double,e:
 PSEUDO_SEGMENTS = "vod_id string, start double, end double, vocal_density double, sustained_frac double, acc_db double, positive boolean"
 
 
+# The records below have the names and defaults that users of the original tools know.
 @dataclass(frozen=True)
 class FeatureConfig:
     sample_rate: int = 16_000

@@ -8,11 +8,14 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "archive string, name string, size long, content binary"
 LOCAL, SIZE64 = b"PK\x03\x04", 0xFFFFFFFF
+#: Bytes that are read at a time.
+PIECE = 4 << 20
 
 
 def repaired_name(raw: bytes, utf8: bool) -> str:
@@ -25,6 +28,23 @@ def repaired_name(raw: bytes, utf8: bool) -> str:
         return raw.decode("cp437")
 
 
+def repaired_names(names):
+    """Column: names that were read as cp437, put right in Arrow batches; Spark's decode has no GBK."""
+    from pyspark.sql.functions import pandas_udf
+
+    def one(s: str | None) -> str | None:
+        try:
+            return None if s is None else repaired_name(s.encode("cp437"), False)
+        except UnicodeEncodeError:  # it wasn't
+            return s
+
+    @pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(one)
+
+    return run(names)
+
+
 def whole(content: bytes) -> Iterator[tuple[str, bytes]]:
     """Members of a complete archive; raises if one is damaged."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -36,47 +56,70 @@ def whole(content: bytes) -> Iterator[tuple[str, bytes]]:
                 yield (i.filename if utf8 else repaired_name(i.filename.encode("cp437"), False)), z.read(i)
 
 
-def partial(content: bytes) -> Iterator[tuple[str, bytes]]:
-    """Members from the start up to the first one that isn't all there. Stored and deflated members, ZIP64 sizes."""
-    at = 0
-    while content[at : at + 4] == LOCAL and at + 30 <= len(content):
-        flags, method, _, _, crc, packed, size, n_name, n_extra = struct.unpack_from("<6xHHHHIIIHH", content, at)
-        name = content[at + 30 : at + 30 + n_name]
-        extra = content[at + 30 + n_name : at + 30 + n_name + n_extra]
-        k = 0
+class Pieces:
+    """A stream that is read in pieces, of which what was read too far can be given back."""
+
+    def __init__(self, read, size: int = PIECE):
+        self.read, self.size, self.left = read, size, b""
+
+    def more(self) -> bytes:
+        out, self.left = self.left or self.read(self.size), b""
+        return out
+
+    def take(self, n: int) -> bytes | None:
+        """Exactly n bytes, or None if there are fewer."""
+        got, out = 0, []
+        while got < n:
+            piece = self.more()
+            if not piece:
+                return None
+            out.append(piece)
+            got += len(piece)
+        whole = b"".join(out)
+        self.left = whole[n:] + self.left
+        return whole[:n]
+
+
+def partial(stream) -> Iterator[tuple[str, bytes]]:
+    """Members from the start up to the first one that isn't all there, of bytes or a stream with read(n). Stored and deflated members, ZIP64 sizes.
+    Beyond a member's own bytes a piece is held."""
+    s = Pieces((io.BytesIO(stream) if isinstance(stream, (bytes, bytearray, memoryview)) else stream).read)
+    while (head := s.take(30)) and head[:4] == LOCAL:
+        flags, method, _, _, crc, packed, size, n_name, n_extra = struct.unpack_from("<6xHHHHIIIHH", head)
+        name, extra = s.take(n_name), s.take(n_extra)
+        if name is None or extra is None:
+            return
+        k, long_sizes = 0, False
         while k + 4 <= len(extra):
             tag, length = struct.unpack_from("<HH", extra, k)
             if tag == 1:
-                values = list(struct.unpack_from(f"<{length // 8}Q", extra, k + 4))
+                values, long_sizes = list(struct.unpack_from(f"<{length // 8}Q", extra, k + 4)), True
                 size = values.pop(0) if size == SIZE64 and values else size
                 packed = values.pop(0) if packed == SIZE64 and values else packed
             k += 4 + length
-        data = at + 30 + n_name + n_extra
         if flags & 8 and not packed:  # sizes follow the data: deflate tells where it ends
             if method != 8:
                 return
-            d = zlib.decompressobj(-15)
-            body = d.decompress(content[data:])
-            if not d.eof:
-                return
-            end = len(content) - len(d.unused_data)
-            end += 16 if content[end : end + 4] == b"PK\x07\x08" else 12
-            if end > len(content):
+            d, out = zlib.decompressobj(-15), []
+            while not d.eof:
+                if not (piece := s.more()):
+                    return
+                out.append(d.decompress(piece))
+            s.left, body = d.unused_data, b"".join(out)
+            mark = s.take(4)
+            if mark is None or s.take((20 if long_sizes else 12) - (0 if mark == b"PK\x07\x08" else 4)) is None:
                 return
         else:
-            end = data + packed
-            if end > len(content):
-                return
-            body = content[data:end] if method == 0 else zlib.decompress(content[data:end], -15) if method == 8 else None
+            raw = s.take(packed)
+            body = None if raw is None else raw if method == 0 else zlib.decompress(raw, -15) if method == 8 else None
             if body is None or zlib.crc32(body) != crc or len(body) != size:
                 return
         if not name.endswith(b"/"):
             yield repaired_name(name, bool(flags & 0x800)), body
-        at = end
 
 
 class PartialZip(DataSource):
-    """spark.read.format("partialzip").option("path", ...): files that machines can open, separated by commas; one partition each.
+    """spark.read.format("partialzip").option("path", ...): paths or addresses of files, separated by commas; one partition each, read in pieces.
     option("done", ...) names members to pass over, so that a growing archive is read on."""
 
     @classmethod
@@ -99,12 +142,14 @@ class _Reader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
-        path = partition.value.removeprefix("file://")
-        with open(path, "rb") as f:
-            content = f.read()
-        for name, body in partial(content):
-            if name not in self.done:
-                yield path.rpartition("/")[2], name, len(body), body
+        from pyarrow import fs
+
+        uri = partition.value
+        store, path = fs.FileSystem.from_uri(uri) if ":" in uri.partition("/")[0] else (fs.LocalFileSystem(), uri)
+        with store.open_input_stream(path) as f:
+            for name, body in partial(f):
+                if name not in self.done:
+                    yield path.rpartition("/")[2], name, len(body), body
 
 
 def register(spark: SparkSession) -> None:
@@ -113,12 +158,18 @@ def register(spark: SparkSession) -> None:
 
 def members(files: DataFrame, complete: bool = True) -> DataFrame:
     """Members of archives (path, content) as binaryFile reads them: any store that Spark reads."""
-    import pandas as pd
 
     def run(batches):
         for b in batches:
             for path, content in zip(b.path, b.content, strict=True):
+                rows, held = [], 0
                 for name, body in whole(content) if complete else partial(content):
-                    yield pd.DataFrame({"archive": [path.rpartition("/")[2]], "name": [name], "size": [len(body)], "content": [body]})
+                    rows.append((path.rpartition("/")[2], name, len(body), body))
+                    held += len(body)
+                    if held >= PIECE:
+                        yield pd.DataFrame(rows, columns=["archive", "name", "size", "content"])
+                        rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=["archive", "name", "size", "content"])
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)

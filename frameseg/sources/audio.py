@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dsp import resample
+from ..functions.dsp import resample, to_pcm16
 from ..schemas import AUDIO_CHUNKS
+from .files import write_files
 
 #: Decoders of bytes to (samples [n, channels], rate), tried in turn after the WAV reader.
 DECODERS: list[Callable[[bytes], tuple[np.ndarray, int]]] = []
@@ -38,7 +39,7 @@ def write_wav(samples: np.ndarray, rate: int) -> bytes:
         w.setnchannels(1)
         w.setsampwidth(2)
         w.setframerate(rate)
-        w.writeframes((np.clip(np.asarray(samples, np.float64), -1, 1) * 32767).round().astype("<i2").tobytes())
+        w.writeframes(to_pcm16(samples).tobytes())
     return out.getvalue()
 
 
@@ -80,15 +81,39 @@ def read_span(chunks: DataFrame, start: int, count: int) -> DataFrame:
     return x.select("vod_id", F.flatten(F.transform("c", lambda c: c["s"])).alias("samples"))
 
 
-def crossfade(chunks: DataFrame, overlap: int) -> DataFrame:
-    """Chunks whose first `overlap` samples fade linearly from the tail of the chunk before."""
+def overlapping_chunks(samples: DataFrame, body: int, overlap: int, value: str = "prob") -> DataFrame:
+    """Chunks (vod_id, chunk_id, samples) of body + overlap values that begin every `body`, from one row a value (vod_id, frame_idx); a chunk shorter
+    than the overlap is left out, as the tail before it covers it."""
+    i = F.col("frame_idx")
+    own = F.floor(i / body).cast("int")
+    at = F.when((i % body < overlap) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    x = samples.select("vod_id", "frame_idx", value, F.explode(at).alias("chunk_id"))
+    x = x.groupBy("vod_id", "chunk_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", value))).alias("c"))
+    return x.select("vod_id", "chunk_id", F.transform("c", lambda c: c[value]).alias("samples")).where(F.size("samples") >= overlap)
+
+
+def crossfade(chunks: DataFrame, body: int, overlap: int) -> DataFrame:
+    """Chunks (vod_id, chunk_id, samples) of which each overlaps the next by up to `overlap` values, as parts that follow one another: a chunk gives up
+    what it has beyond `body`; the next one's head fades in over that tail, by a ramp from 0 to 1. The last chunk keeps its tail."""
     from pyspark.sql import Window as W
 
-    before = F.lag(F.slice("samples", -overlap, overlap)).over(W.partitionBy("vod_id").orderBy("chunk_id"))
-    x = chunks.withColumn("_tail", before)
-    fade = F.transform(F.sequence(F.lit(0), F.lit(overlap - 1)), lambda i: (F.get("_tail", i) * (overlap - i) + F.get("samples", i) * i) / F.lit(float(overlap)))
-    joined = F.when(F.col("_tail").isNull(), F.col("samples").cast("array<double>")).otherwise(F.concat(fade, F.slice("samples", overlap + 1, F.greatest(F.lit(0), F.size("samples") - overlap)).cast("array<double>")))
-    return x.withColumn("samples", joined).drop("_tail")
+    w = W.partitionBy("vod_id").orderBy("chunk_id")
+    x = chunks.withColumn("_tail", F.lag(F.slice("samples", body + 1, overlap)).over(w)).withColumn("_last", F.lead("chunk_id").over(w).isNull())
+    n = F.least(F.lit(overlap), F.size("samples"))
+    ramp = lambda i: F.when(n > 1, i / F.greatest(n - 1, F.lit(1))).otherwise(0.0)
+    faded = F.transform("samples", lambda v, i: F.when((i < n) & F.get("_tail", i).isNotNull(), v * ramp(i) + F.get("_tail", i) * (1 - ramp(i))).otherwise(v))
+    return x.withColumn("samples", F.when(F.col("_last"), faded).otherwise(F.slice(faded, 1, body))).drop("_tail", "_last")
+
+
+def save_wavs(recordings: DataFrame, folder: str, rate: int) -> int:
+    """Writes recordings (vod_id, samples) as 16-bit WAV files <vod_id>.wav below a folder; their number."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for vod, x in zip(b.vod_id, b.samples, strict=True):
+                yield pd.DataFrame({"name": [f"{vod}.wav"], "content": [write_wav(x, rate)]})
+
+    return write_files(recordings.select("vod_id", "samples").mapInPandas(encode, "name string, content binary"), folder)
 
 
 def cut_plan(segments: DataFrame) -> DataFrame:

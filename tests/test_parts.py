@@ -152,12 +152,6 @@ def test_wav_round_trip(spark):
         audio.load(b"not audio")
 
 
-def test_crossfade(spark):
-    c = spark.createDataFrame([("v", 0, [1.0] * 6), ("v", 1, [0.0] * 6)], "vod_id string, chunk_id int, samples array<double>")
-    got = audio.crossfade(c, 4).orderBy("chunk_id").collect()[1].samples
-    assert got == [1.0, 0.75, 0.5, 0.25, 0.0, 0.0]
-
-
 def zipped(names, method=zipfile.ZIP_DEFLATED):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", method) as z:
