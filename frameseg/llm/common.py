@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from py4j.protocol import Py4JError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define it; bytes.split() without an argument cuts at the same bytes.
@@ -125,6 +126,28 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int = 1 << 21)
             yield b.slice(i, step)
 
 
+#: Rows of a part of running(), about.
+RUN = 200_000
+
+
+def running(scratch: Scratch, df: DataFrame, name: str, order: list[Column], part: int = RUN, **sums: Column) -> DataFrame:
+    """df with a column for each of the sums (of whole numbers): its total over all rows before this one, null-free, in an order without ties.
+
+    Rows are dealt by ranges of the order and written; the driver adds up a row a range, and windows stay inside ranges.
+    """
+    values = {f"_{k}": v for k, v in sums.items()}
+    parts = max(1, -(-df.count() // part))
+    dealt = scratch.save(df.withColumns(values).repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), name)
+    offsets, at = [], dict.fromkeys(values, 0)
+    for r in sorted(dealt.groupBy("_part").agg(*(F.sum(v).alias(v) for v in values)).collect()):
+        offsets.append((r["_part"], *at.values()))
+        at = {v: n + r[v] for v, n in at.items()}
+    before = dealt.sparkSession.createDataFrame(offsets, "_part int" + "".join(f", {v}_before long" for v in values))
+    w = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(before), "_part")  # a row a range
+    return out.withColumns({k: F.col(f"_{k}_before") + F.coalesce(F.sum(f"_{k}").over(w), F.lit(0)) for k in sums}).select(*df.columns, *sums)
+
+
 def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFrame:
     """(id, component_id) of every vertex of edges(a, b): the smallest id that links reach.
 

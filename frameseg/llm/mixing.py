@@ -11,10 +11,9 @@ every other column through, whatever its name.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, aside, restored, table
+from .common import WORD, Scratch, aside, restored, running, table
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
 #: Up to so many sources the targets (some 50 bytes each) are broadcast; beyond, the join is left to the planner.
@@ -26,19 +25,18 @@ def n_words(text: str = "text") -> Column:
 
 
 def targets(sized: DataFrame) -> DataFrame:
-    """source, source_size, target, rate from rows (source, size)."""
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    every = W.partitionBy()
-    s = s.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.row_number().over(W.partitionBy().orderBy(F.col("source").asc_nulls_last())) - 1) % len(WEIGHTS) + 1))
-    s = s.withColumn("cap", CAP * F.col("source_size")).withColumn("total", F.sum("source_size").over(every))
-    # sources fill up in the order of cap / weight; level k is what is left to share when k of them are full
-    fill = W.partitionBy().orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before, after = fill.rowsBetween(W.unboundedPreceding, -1), fill.rowsBetween(0, W.unboundedFollowing)
-    s = s.withColumn("full", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("open_w", F.sum("w").over(after))
-    s = s.withColumn("here", (F.col("total") - F.col("full")) / F.col("open_w"))
-    s = s.withColumn("level", F.min(F.when(F.col("here") * F.col("w") <= F.col("cap"), F.struct(F.col("full"), F.col("here")))).over(every)["here"])
-    s = s.withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("w")))
-    return s.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"))
+    """source, source_size, target, rate from rows (source, size). A row for each source; sources too are dealt to tasks, by ranges."""
+    tmp, source = Scratch(sized.sparkSession, "targets"), F.col("source").asc_nulls_last()
+    s = tmp.save(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sizes")
+    s = running(tmp, s, "named", [source], rank=F.lit(1))
+    s = s.withColumn("w", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int")).cast("long")).withColumn("cap", CAP * F.col("source_size"))
+    # sources fill up in the order of cap / weight; a level is what is left to share when those before are full
+    s = running(tmp, s, "filled", [F.col("cap") / F.col("w"), source], full=F.col("cap"), filled_w=F.col("w"))
+    every = s.agg(F.sum("source_size").alias("total"), F.sum("w").alias("all_w")).first()
+    s = s.withColumn("here", (F.lit(every.total) - F.col("full")) / (F.lit(every.all_w) - F.col("filled_w")))
+    level = s.where(F.col("here") * F.col("w") <= F.col("cap")).agg(F.min(F.struct("full", "here"))["here"].alias("here")).first().here
+    s = s.withColumn("target", F.least(F.col("cap").cast("double"), F.lit(level).cast("double") * F.col("w")))
+    return tmp.only(s.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate")), "targets")
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -56,7 +54,7 @@ def _with_targets(docs: DataFrame, t: DataFrame) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tmp = Scratch(spark, "mix")
     sized = tmp.save(table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("size")), "sized")
-    x = _with_targets(sized, tmp.save(targets(sized), "targets"))
+    x = _with_targets(sized, targets(sized))
     return x.select("doc_id", "size", "source_size", "target", (F.col("size") * copies(F.col("rate"), F.col("doc_id"))).alias("taken"))
 
 
@@ -86,8 +84,8 @@ from (select d.doc_id, d.size, r.source_size, r.target, case when r.source_size
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: each document as many times as the mix takes it."""
-    tmp, used = Scratch(spark, "mix"), ("doc_id", "source", "text")
+    used = ("doc_id", "source", "text")
     sized = docs.select("source", n_words().alias("size"))
-    x = _with_targets(aside(docs, *used), tmp.save(targets(sized), "targets"))
+    x = _with_targets(aside(docs, *used), targets(sized))
     n = copies(F.col("rate"), F.col("doc_id"))
     return restored(x.where(n > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), n))), docs, *used)

@@ -32,6 +32,19 @@ def test_targets_by_rounds(spark):
             assert abs(got[f"s{k}"] - t) < 1e-6 * max(1, t)
 
 
+def test_many_sources_are_dealt_by_ranges(spark, monkeypatch):
+    from frameseg.llm import common
+
+    rng = __import__("random").Random(3)
+    sizes = [rng.choice([0, 1, 1, 5, 5, 300, 2000]) for _ in range(200)]
+    rows = [(f"s{k:03d}" if k else None, n) for k, n in enumerate(sizes)]
+    want = water([n for _, n in rows[1:]] + [sizes[0]], [(5, 2, 1)[k % 3] for k in range(200)])
+    monkeypatch.setattr(common.running, "__defaults__", (7,))
+    got = {r.source: r.target for r in M.targets(spark.createDataFrame(rows, "source string, size long")).collect()}
+    for name, t in zip([n for n, _ in rows[1:]] + [None], want, strict=True):
+        assert abs(got[name] - t) < 1e-6 * max(1, t)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a b"), (2, "x", None), (3, "x", ""), (None, "x", "   "), (4, "y", "é\tü\nz"), (4, "y", "é\tü\nz")]
     docs = spark.createDataFrame([(i, s, t, 0.5) for i, s, t in rows], "doc_id long, source string, text string, rate double")
