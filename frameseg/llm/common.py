@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: ASCII white space as the contracts define it; bytes.split() without an argument cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,6 +48,10 @@ def _rm_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+#: Narrow rows of a file, about.
+FILE = 50_000
+
+
 class Scratch:
     """Written tables below the shared folder. They cut lineage and outlive executors; drop() removes them early, and what is left goes
     when the process ends. An operator whose result is small saves it and drops all else (only())."""
@@ -54,14 +63,17 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """rows: how many narrow rows the table has at most; they make as few files as these need, without another shuffle."""
         self.names.add(name)
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // FILE)))
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def only(self, df: DataFrame, name: str) -> DataFrame:
+    def only(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         """Saves a table and drops all others."""
-        out = self.save(df, name)
+        out = self.save(df, name, rows)
         self.drop(*(self.names - {name}))
         return out
 
@@ -91,6 +103,20 @@ def restored(out: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
     return out.select(*(F.col(c if c in used else f"_user{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
+_kept: list = [None, None]
+
+
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task under this name. A worker serves all stages in turn, and keeps the last one's alone."""
+    if _kept[0] != name:
+        _kept[:] = [None, None]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)  # freed memory goes back, where the C library knows how
+        _kept[:] = [name, make()]
+    return _kept[1]
+
+
 class WordHash(dict):
     """64-bit hashes of words (bytes), kept while there is room."""
 
@@ -155,7 +181,8 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
     least halves; a vertex follows the chain of hooks by one join a round. Rounds are written tables.
     """
     e = scratch.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{name}-e0")
-    label, k = None, 0
+    label, k, left = None, 0, e.count()
+    vertices = 2 * left
     while True:
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
@@ -163,15 +190,12 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "cc") -> DataFram
             new = hook.select(F.col("v").alias("id"), F.col("p").alias("label"))
         else:
             new = label.join(hook, label.label == hook.v, "left").select("id", F.coalesce("p", "label").alias("label"))
-        new = scratch.save(new, f"{name}-m{k + 1}")
+        new = scratch.save(new, f"{name}-m{k + 1}", vertices)
         hook = new.select(F.col("id").alias("v"), F.col("label").alias("p")) if label is None else hook
-        left = hook.select(F.col("v").alias("a"), F.col("p").alias("pa"))
-        right = hook.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        rest = e.join(left, "a").join(right, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-        rest = scratch.save(rest, f"{name}-e{k + 1}")
-        scratch.drop(f"{name}-e{k}")
-        if k:
-            scratch.drop(f"{name}-m{k}")
-        label, e, k = new, rest, k + 1
-        if e.isEmpty():
+        ha, hb = hook.select(F.col("v").alias("a"), F.col("p").alias("pa")), hook.select(F.col("v").alias("b"), F.col("p").alias("pb"))
+        rest = e.join(ha, "a").join(hb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
+        rest = scratch.save(rest, f"{name}-e{k + 1}", left)
+        scratch.drop(f"{name}-e{k}", *([f"{name}-m{k}"] if k else []))
+        label, e, k, left = new, rest, k + 1, rest.count()
+        if not left:
             return label.select("id", F.col("label").alias("component_id"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, aside, components, mix, restored, slices, table
+from .common import Scratch, WordHash, aside, components, kept, mix, restored, slices, table
 
 WORDS, BANDS, ROWS, BITS = 5, 32, 3, 2
 LEAST = 75  # per cent of the union
@@ -73,7 +73,7 @@ SIGNATURE = "doc_id long, n_shingles long, digest binary, sig array<long>, bands
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words = WordHash()
+    words = kept("minhash", WordHash)
     for b in slices(batches, "text"):
         sets = [shingles(t, words) for t in b.column("text").to_pylist()]
         full = [i for i, s in enumerate(sets) if len(s)]
@@ -90,7 +90,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each shingle of each document, the document's other columns beside it."""
-    words = WordHash()
+    words = kept("minhash", WordHash)
     for b in slices(batches, "text", 1 << 19):
         sets = [shingles(t, words) for t in b.column("text").to_pylist()]
         n = [len(s) for s in sets]
@@ -135,7 +135,7 @@ def _scarce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many shingles of a document fall into each of TALLIES parts."""
-    words = WordHash()
+    words = kept("minhash", WordHash)
     for b in slices(batches, "text", 1 << 19):
         counts = [np.bincount((shingles(t, words) % np.uint64(TALLIES)).astype(np.int64), minlength=TALLIES) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(counts, pa.list_(pa.int64()))], ["id", "tally"])
@@ -155,7 +155,7 @@ def similarity(a: str, b: str, n_words: int = BANDS * ROWS, bits: int = BITS):
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, last, left = WordHash(), None, None
+    words, last, left = kept("minhash", WordHash), None, None
     for b in slices(batches, "text_a"):
         a, c, keep = b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), []
         for s, t in zip(a, c, strict=True):
@@ -207,7 +207,7 @@ def _merged(tmp: Scratch, known: DataFrame | None, links: DataFrame, name: str)
     more = components(tmp, links.where("a <> b").select("a", "b"), name)
     moved = known.join(more.select(F.col("id").alias("was"), F.col("component_id").alias("now")), F.col("component_id") == F.col("was"), "left")
     alone = more.join(known.select("id"), "id", "left_anti")
-    return tmp.save(moved.select("id", F.coalesce("now", "component_id").alias("component_id")).unionByName(alone), f"{name}-known")
+    return tmp.save(moved.select("id", F.coalesce("now", "component_id").alias("component_id")).unionByName(alone), f"{name}-known", known.count() + more.count())
 
 
 def _large(at: DataFrame, own: DataFrame) -> DataFrame:
@@ -233,10 +233,12 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     sets = tmp.save(texts.mapInArrow(_signatures, SIGNATURE), "sets")
     some = sets.where("doc_id is not null and digest is not null")
     reps = tmp.save(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "reps")
+    n_rows, n_reps = sets.count(), reps.count()
     bands = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
     draw = [F.struct(F.xxhash64("key", "id", F.lit(i)), F.col("id").alias("id")) for i in (1, 2)]
     lead = bands.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("last"), F.count("*").alias("size"), *[F.min(d)["id"].alias(f"lead{i}") for i, d in enumerate(draw, 1)])
-    held = tmp.save(bands.join(lead.where("least < last").drop("least", "last"), "key"), "held")
+    held = tmp.save(bands.join(lead.where("least < last").drop("least", "last"), "key"), "held", BANDS * n_reps)
+    n_held = held.count()
     facts = reps.select(F.col("rep").alias("id"), "sig", "n", F.lit(None).cast("array<long>").alias("tally"))
     own = _candidates(tmp, texts, held.select(F.col("id").alias("doc_id")).distinct())
 
@@ -264,12 +266,12 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     best = W.partitionBy("id").orderBy(F.desc("est"), "a", "b")
     first = estimated(held.where("id <> lead1").select("id", F.col("lead1").alias("other")).distinct(), facts)
-    first = tmp.save(first.withColumn("nth", F.row_number().over(best)).where("nth <= 2").select("a", "b").distinct(), "pairs1")
+    first = tmp.save(first.withColumn("nth", F.row_number().over(best)).where("nth <= 2").select("a", "b").distinct(), "pairs1", 2 * n_reps)
     # rows that share a doc_id are one vertex
     copies = some.join(reps.select("digest", "rep"), "digest").where("doc_id <> rep").select("doc_id", F.col("rep").alias("a"))
     several = copies.groupBy("doc_id").agg(F.min("a").alias("a"), F.max("a").alias("z"), F.collect_set("a").alias("reps")).where("a < z").select("a", F.explode("reps").alias("b")).where("a <> b")
     itself = copies.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("a", F.col("doc_id").alias("b"))
-    known = _merged(tmp, None, tmp.save(confirmed(first).unionByName(several).unionByName(itself), "links1"), "cc1")
+    known = _merged(tmp, None, tmp.save(confirmed(first).unionByName(several).unionByName(itself).distinct(), "links1", 2 * n_reps + n_rows), "cc1")
 
     def spanning() -> DataFrame:
         """Members of buckets that span components, with their component c and the bucket's most frequent one, main."""
@@ -277,7 +279,7 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
         per = at.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("main"), F.count("*").alias("parts"))
         return at.join(per.where("parts > 1").select("key", "main"), "key")
 
-    at = tmp.save(spanning(), "at")
+    at = tmp.save(spanning(), "at", n_held)
     inside = tmp.save(_large(at, own), "inside")
     # a shingle is rare for a document if it has few documents, and far fewer than the document's largest bucket
     rows = "id long, c long, most long, s long"
@@ -288,20 +290,20 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     less = rare.groupBy("id", part.alias("p")).agg(F.count("*").alias("k")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("p", "k"))).alias("less"))
     tally = inside.mapInArrow(_tallied, "id long, tally array<long>").join(less, "id", "left")
     tally = tally.select("id", F.transform("tally", lambda v, i: v - F.coalesce(F.try_element_at("less", i), F.lit(0))).alias("tally"))
-    plain, facts = facts, tmp.save(facts.drop("tally").join(tally, "id", "left"), "facts")
+    plain, facts = facts, tmp.save(facts.drop("tally").join(tally, "id", "left"), "facts", 4 * n_reps)
     by_rare = rare.where("df > 1").select("s", "id", "c").join(few.select("s", F.col("id").alias("other"), F.col("c").alias("co")), "s").where("c <> co")
-    by_rare = tmp.save(estimated(by_rare.select("id", "other").distinct(), plain).select("a", "b").distinct(), "rare")
+    by_rare = tmp.save(estimated(by_rare.select("id", "other").distinct(), plain).select("a", "b").distinct(), "rare", n_held * RARE)
     tmp.drop("inside", "few")
     second = at.select("id", "c", F.explode(F.array("lead1", "lead2")).alias("other")).where("id <> other").distinct()
     label = known.select(F.col("id").alias("other"), F.col("component_id").alias("co"))
     second = second.join(label, "other", "left").where("c <> coalesce(co, other)").select("id", "other")
-    second = tmp.save(estimated(second, facts).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs2")
-    if not second.isEmpty():
-        known = _merged(tmp, known, tmp.save(confirmed(second), "links2"), "cc2")
+    second = tmp.save(estimated(second, facts).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs2", 2 * n_held)
+    if n := second.count():
+        known = _merged(tmp, known, tmp.save(confirmed(second), "links2", n), "cc2")
 
     # pairs of a bucket's members from different components, but for those inside its main one. Where all members are tallied, one
     # whose tallied shingles are under LEAST per cent can only be linked by a rare shingle
-    at = tmp.save(spanning().select("key", "id", "c", "main").join(facts, "id"), "spanning")
+    at = tmp.save(spanning().select("key", "id", "c", "main").join(facts, "id"), "spanning", 4 * n_held)
     per = at.groupBy("key").agg(F.bool_and(F.col("tally").isNotNull()).alias("all"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     at = at.join(per, "key").where(~(F.col("all") & (100 * total(F.col("tally")) < LEAST * F.col("n"))))
     side = lambda i, x: [F.col(c).alias(c + x) for c in ("c", "sig", "n", "tally")] + [F.col("id").alias(i)]
@@ -310,11 +312,11 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     third = x.join(y, (x.key == y.key) & (x.part == y.part) & (x.c_a != y.c_b) & ((y.c_b == y.main) | (x.i < y.j)) & possible())
     third = third.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).unionByName(by_rare).distinct()
     third = tmp.save(third.join(first.unionByName(second), ["a", "b"], "left_anti"), "pairs3")
-    if not third.isEmpty():
-        known = _merged(tmp, known, tmp.save(confirmed(third), "links3"), "cc3")
+    if n := third.count():
+        known = _merged(tmp, known, tmp.save(confirmed(third), "links3", n), "cc3")
     rep = reps.select("digest", "rep").join(known.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     out = sets.join(rep, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return tmp.only(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
+    return tmp.only(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result", n_rows)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, table
+from .common import Scratch, kept, slices, table
 
 WINDOW, GRID, CHUNK, SEPARATOR = 2048, 8, 32, 1
 #: Documents of a group that is packed greedily in one task, about.
@@ -102,12 +102,6 @@ class Tokens:
             yield b"".join(f) + self.end
 
 
-@lru_cache(maxsize=1)
-def tokens_of(path: str) -> Tokens:
-    """One for each Python worker, which serves many tasks."""
-    return Tokens(path)
-
-
 PLAN = "uid long, doc_id long, doc_tokens long, rest int, first_full long, crcs array<long>, rest_crc long, chunks array<long>"
 
 
@@ -117,7 +111,7 @@ def _measure(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens, uid = tokens_of(path), TaskContext.get().partitionId() << 33
+        tokens, uid = kept(f"tokens:{path}", lambda: Tokens(path)), TaskContext.get().partitionId() << 33
         full, size, step = uid, 4 * window, 4 * CHUNK
         for b in slices(batches, "text", 1 << 20):
             rows: list[tuple] = []

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, WordHash, aside, restored, slices, table
+from .common import Scratch, WordHash, aside, kept, restored, slices, table
 
 BITS, SAMPLE, EPOCHS = 20, 12_000, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.1
@@ -94,7 +94,7 @@ def in_fold(doc_id: Column) -> Column:
 
 def _features(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHash(strip=STRIP)
+        words = kept("toxicity", lambda: WordHash(strip=STRIP))
         for b in slices(batches, "text"):
             at = [distinct(t, words, bits) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.array(at, pa.list_(pa.int32()))], ["id", "y", "at"])
@@ -149,7 +149,7 @@ def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
         at, w, bias = sent.value
         dense = np.zeros(1 << bits, np.float64)
         dense[at] = w
-        words = WordHash(strip=STRIP)
+        words = kept("toxicity", lambda: WordHash(strip=STRIP))
         for b in slices(batches, "text"):
             out = np.empty(b.num_rows)
             for i, t in enumerate(b.column("text").to_pylist()):
