@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, kept, slices, table
 
 WINDOW, GRID, CHUNK, SEPARATOR = 2048, 8, 32, 1
+#: Pieces of a text that are put together at a time.
+WORDS = 1 << 18
 #: Documents of a group that is packed greedily in one task, about.
 GROUP = 1_000
 #: Rows of one length that one window function ranks, about.
@@ -40,6 +43,16 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def bytes_of(strings: pa.StringArray) -> list[bytes]:
+    """The strings' UTF-8, without a Python string for each."""
+    _, ends, data = strings.buffers()
+    if not len(strings):
+        return []
+    ends = np.frombuffer(ends, np.int32)[strings.offset : strings.offset + len(strings) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
 class Tokens:
     """Ids (little-endian unsigned 32-bit bytes) of pieces of text between ASCII white space.
 
@@ -54,15 +67,33 @@ class Tokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         bpe = Tokenizer.from_file(path)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.encode = getattr(bpe, "encode_batch_fast", bpe.encode_batch)
+        # a special token cuts a text before anything else happens to it, so that pieces between such tokens are tokenized one by one
+        plain = [(i, t.content) for i, t in sorted(bpe.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.mark = plain[0] if plain else None
         self.new, self.old = {}, {}
         self.stops = dict(zip((b",", b"."), self.ids([b",", b"."]), strict=True))
         self.end = array("I", [SEPARATOR]).tobytes()
 
-    def ids(self, pieces: list[bytes]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.encode([p.decode() for p in pieces], add_special_tokens=False)]
+    def ids(self, pieces: list[bytes], some: int = 512) -> list[bytes]:
+        """Of each piece by itself. Pieces without special strings go to the tokenizer by the hundreds, a special token between them."""
+        odd = [i for i, p in enumerate(pieces) if not self.mark or b"<|" in p]
+        out: list[bytes] = [b""] * len(pieces)
+        for i, e in zip(odd, self.encode([pieces[i].decode() for i in odd], add_special_tokens=False), strict=True):
+            out[i] = array("I", e.ids).tobytes()
+        if len(odd) == len(pieces):
+            return out
+        skip = set(odd)
+        rest, (mark, text) = [i for i in range(len(pieces)) if i not in skip], self.mark
+        groups = [rest[i : i + some] for i in range(0, len(rest), some)]
+        for group, e in zip(groups, self.encode([text.join(pieces[i].decode() for i in g) for g in groups], add_special_tokens=False), strict=True):
+            found = np.array(e.ids, np.uint32)
+            every, start = found.tobytes(), 0
+            for i, end in zip(group, [*(4 * np.flatnonzero(found == mark)).tolist(), len(every)], strict=True):
+                out[i], start = every[start:end], end + 4
+        return out
 
     def learn(self, pieces: set[bytes]) -> None:
         """Pieces that aren't in the new generation come into it."""
@@ -89,17 +120,21 @@ class Tokens:
         for x, core, stop in made:
             new[x] = new[core] + self.stops[stop] if stop else new[core]
 
-    def of(self, texts: list[bytes | None]) -> Iterator[bytes]:
+    def of(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text and the separator. A piece that occurs more than once in these texts is looked up once."""
         if len(self.new) > self.LIMIT:
             self.old, self.new = self.new, {}
-        pieces = [t.split() if t else [] for t in texts]
-        found = [list(map(self.new.get, p)) for p in pieces]
-        gaps = [[i for i, v in enumerate(f) if v is None] if None in f else [] for f in found]
-        self.learn({p[i] for p, gap in zip(pieces, gaps, strict=True) for i in gap})
-        for p, f, gap in zip(pieces, found, gaps, strict=True):
-            for i in gap:
-                f[i] = self.new[p[i]]
-            yield b"".join(f) + self.end
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        code = cut.values.dictionary_encode()
+        pieces = bytes_of(code.dictionary)  # one may be empty: white space at a text's ends
+        found = list(map(self.new.get, pieces))
+        gaps = [i for i, v in enumerate(found) if v is None]
+        self.learn({p for i in gaps if (p := pieces[i])})
+        for i in gaps:
+            found[i] = self.new[p] if (p := pieces[i]) else b""
+        take, at, ends = found.__getitem__, code.indices.to_numpy(), cut.offsets.to_numpy().tolist()
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            yield b"".join([b"".join(map(take, at[i : min(b, i + WORDS)].tolist())) for i in range(a, b, WORDS)]) + self.end
 
 
 PLAN = "uid long, doc_id long, doc_tokens long, rest int, first_full long, crcs array<long>, rest_crc long, chunks array<long>"
@@ -113,9 +148,9 @@ def _measure(path: str, window: int):
 
         tokens, uid = kept(f"tokens:{path}", lambda: Tokens(path)), TaskContext.get().partitionId() << 33
         full, size, step = uid, 4 * window, 4 * CHUNK
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text"):
             rows: list[tuple] = []
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokens.of(b.column("text").cast(pa.binary()).to_pylist()), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokens.of(b.column("text")), strict=True):
                 n, view = len(ids) // 4, memoryview(ids)
                 k = n // window
                 rest = view[k * size :]

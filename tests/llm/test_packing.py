@@ -3,6 +3,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -95,5 +96,18 @@ def test_pieces_are_tokenized_alone(bpe, monkeypatch):
     texts = ["One two, three. ONE", "two three\tfour.", None, "One. <|endoftext|>, x.y, é., É.", "five six seven eight nine ten", "one two"]
     for _ in range(3):
         for x in texts:
-            got = np.frombuffer(next(t.of([x if x is None else x.encode()])), "<u4").tolist()
+            got = np.frombuffer(next(t.of(pa.array([x], pa.string()))), "<u4").tolist()
             assert got == bpe.encode(x or "", add_special_tokens=False).ids + [1]
+
+
+def test_long_texts_and_many_pieces(bpe, monkeypatch):
+    """Pieces put together in parts, and pieces around special strings, give the tokenizer's ids."""
+    monkeypatch.setattr(P, "WORDS", 3)
+    rng = np.random.default_rng(9)
+    stock = ["a", "Bee,", "c's", "<|startoftext|>", "<|x", "x<|endoftext|>y", "日本", "é.", "\x1c", "12", "…"]
+    texts = ["", None, " \n", *(rng.choice([" ", "\t", "  "]).join(rng.choice(stock, int(rng.integers(1, 40)))) for _ in range(200)), " ends with space "]
+    t = P.Tokens(P.vocabulary())
+    got = [np.frombuffer(x, "<u4").tolist() for x in t.of(pa.array(texts, pa.string()))]
+    assert got == [bpe.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
+    some = [f"w{i}é" for i in range(2000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in t.ids([p.encode() for p in some])] == [bpe.encode(p, add_special_tokens=False).ids for p in some]
