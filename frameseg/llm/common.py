@@ -48,6 +48,8 @@ def _rm_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+#: Rows that go to Python at a time while a table is written: two long texts a row, and the JVM and Python each hold a batch.
+BATCH = 1000
 #: Narrow rows of a file, about.
 FILE = 50_000
 
@@ -68,7 +70,13 @@ class Scratch:
         self.names.add(name)
         if rows is not None:
             df = df.coalesce(max(1, -(-rows // FILE)))
-        df.write.mode("overwrite").parquet(self.path(name))
+        conf, key = self.spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(key)
+        conf.set(key, str(min(int(before), BATCH) if int(before) > 0 else BATCH))
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def only(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -111,6 +119,8 @@ def kept(name: str, make: Callable[[], T]) -> T:
     if _kept[0] != name:
         _kept[:] = [None, None]
         gc.collect()
+        pa.set_memory_pool(pa.system_memory_pool())  # the default one keeps what has been freed
+        pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):
             ctypes.CDLL("libc.so.6").malloc_trim(0)  # freed memory goes back, where the C library knows how
         _kept[:] = [name, make()]
