@@ -62,7 +62,7 @@ class Tokens:
     and memory is bounded (some 200 bytes each).
     """
 
-    LIMIT = 400_000
+    LIMIT = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -148,7 +148,7 @@ def _measure(path: str, window: int):
 
         tokens, uid = kept(f"tokens:{path}", lambda: Tokens(path)), TaskContext.get().partitionId() << 33
         full, size, step = uid, 4 * window, 4 * CHUNK
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text"):
             rows: list[tuple] = []
             for doc_id, ids in zip(b.column("doc_id").to_pylist(), tokens.of(b.column("text")), strict=True):
                 n, view = len(ids) // 4, memoryview(ids)
