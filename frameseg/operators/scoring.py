@@ -12,11 +12,12 @@ from .sequence import KEY
 
 
 def chunk_starts(recordings: DataFrame, n: str, size: int, overlap: int) -> DataFrame:
-    """recordings with chunk_id, start, stop: starts every size - overlap, none after the first chunk that reaches the end."""
+    """recordings with chunk_id, start, stop: starts every size - overlap, none after the first chunk that reaches the end. Positions are long, as
+    samples of a long recording outgrow 32 bits."""
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.col(n) - size) / F.lit(step))).cast("int")
     x = recordings.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_id")).where(F.col(n) > 0)
-    return x.withColumn("start", F.col("chunk_id") * step).withColumn("stop", F.least(F.col("start") + size, F.col(n)).cast("int"))
+    return x.withColumn("start", F.col("chunk_id").cast("long") * step).withColumn("stop", F.least(F.col("start") + size, F.col(n)).cast("long"))
 
 
 def sample_chunks(recordings: DataFrame, n: str, size: int, overlap: int, per_frame: float, least: int = 0) -> DataFrame:
@@ -34,7 +35,7 @@ def placed(scores: DataFrame, chunks: DataFrame, frames: DataFrame) -> DataFrame
 
 def trimmed(chunks: DataFrame, lead: int) -> DataFrame:
     """Frames (vod_id, chunk_id, frame_idx) of chunks (start, stop) without the first `lead` of each, which only lead in; at a recording's start there are fewer."""
-    x = chunks.select(KEY, "chunk_id", "start", F.explode(F.sequence(F.lit(0), F.col("stop") - F.col("start") - 1)).alias("k"))
+    x = chunks.select(KEY, "chunk_id", "start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("stop") - F.col("start") - 1)).alias("k"))
     return x.where(F.col("k") >= F.least(F.col("start"), F.lit(lead))).select(KEY, "chunk_id", (F.col("start") + F.col("k")).alias("frame_idx"))
 
 

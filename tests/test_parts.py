@@ -40,6 +40,17 @@ def test_chunks_cover_every_frame(spark, n):
     assert pairs == {(k, i) for k, (a, b) in enumerate(want) for i in range(a, b)}
 
 
+def test_sample_chunks_of_a_long_recording(spark):
+    n = (1 << 31) + 5_000_000  # more samples than 32 bits count
+    r = spark.createDataFrame([("v", n)], "vod_id string, n long")
+    x = C.sample_chunks(r, "n", 600_000, 30_000, 5120)
+    got = [(c.start, c.stop, c.first_frame) for c in x.orderBy("chunk_id").collect()]
+    want = [(s, min(n, s + 600_000), s // 5120) for s in range(0, n - 30_000, 570_000)]
+    assert got == want and got[-1][1] == n
+    last = C.trimmed(x.where(F.col("stop") == n), 30_000).agg(F.count("*").alias("k"), F.max("frame_idx").alias("top")).collect()[0]
+    assert (last.k, last.top) == (n - got[-1][0] - 30_000, n - 1)
+
+
 def test_overlap_add_leaves_uncovered_frames_at_zero(spark):
     grid = spark.createDataFrame([("v", i) for i in range(3)], "vod_id string, frame_idx int")
     c = spark.createDataFrame([("v", 0, 0.2), ("v", 0, 0.4), ("v", 1, 0.5)], "vod_id string, frame_idx int, prob double")
