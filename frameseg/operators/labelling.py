@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schemas import PseudoLabelConfig
@@ -23,10 +24,15 @@ def candidate_runs(features: DataFrame, cfg: PseudoLabelConfig = PseudoLabelConf
 
 
 def pseudo_segments(features: DataFrame, cfg: PseudoLabelConfig = PseudoLabelConfig()) -> DataFrame:
-    """Candidate runs with density, sustained share, median level and whether they pass; those that don't stay."""
+    """Candidate runs with density, sustained share, median level and whether they pass; those that don't stay.
+
+    The sustained share is summed in the order of frames: at a threshold, a sum in the order of partitions decides one way or the other.
+    """
     at = candidate_runs(features, cfg).select(KEY, "a", "b", F.explode(F.sequence("a", F.col("b") - 1)).alias("frame_idx"))
-    x = at.join(features, [KEY, "frame_idx"])
-    x = x.groupBy(KEY, "a", "b").agg(F.avg(voiced(cfg).cast("double")).alias("vocal_density"), F.coalesce(F.avg(F.when(voiced(cfg), F.col("sustained"))), F.lit(0.0)).alias("sustained_frac"), F.median("acc_db").alias("acc_db"))
+    x = at.join(features, [KEY, "frame_idx"]).withColumn("_s", F.when(voiced(cfg), F.col("sustained")))
+    x = x.withColumn("_sum", F.sum("_s").over(W.partitionBy(KEY, "a").orderBy("frame_idx").rowsBetween(W.unboundedPreceding, 0)))
+    sustained = F.max_by("_sum", "frame_idx") / F.nullif(F.count("_s"), F.lit(0))
+    x = x.groupBy(KEY, "a", "b").agg(F.avg(voiced(cfg).cast("double")).alias("vocal_density"), F.coalesce(sustained, F.lit(0.0)).alias("sustained_frac"), F.median("acc_db").alias("acc_db"))
     ok = (F.col("vocal_density") >= cfg.min_density) & (F.col("sustained_frac") >= cfg.min_sustained) & (F.col("acc_db") >= cfg.min_acc_db)
     return x.select(KEY, F.round(F.col("a") / F.lit(cfg.frame_rate), 2).alias("start"), F.round(F.col("b") / F.lit(cfg.frame_rate), 2).alias("end"), "vocal_density", "sustained_frac", "acc_db", ok.alias("positive"))
 
