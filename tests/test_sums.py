@@ -45,6 +45,6 @@ def equal_to_sql(spark, at, name):
     assert len(want) and plain(got) == plain(want)
 
 
-@pytest.mark.parametrize("name", ["j5_focus_list"])
+@pytest.mark.parametrize("name", ["j5_focus_list", "m3_focus_frames"])
 def test_threshold(spark, events, shuffled, name):
     equal_to_sql(spark, events, name)
