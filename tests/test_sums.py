@@ -45,6 +45,14 @@ def equal_to_sql(spark, at, name):
     assert len(want) and plain(got) == plain(want)
 
 
-@pytest.mark.parametrize("name", ["j5_focus_list", "m3_focus_frames"])
+@pytest.mark.parametrize("name", ["j5_focus_list", "m3_focus_frames", "p7_segment_quality"])
 def test_threshold(spark, events, shuffled, name):
     equal_to_sql(spark, events, name)
+
+
+def test_ties_of_rounding(spark):
+    from frameseg.plans.core import _millionths
+
+    ties = [(2 * i + 1) / 2e6 for i in range(126_000, 127_000)]
+    got = [r.x for r in spark.createDataFrame([(x,) for x in ties], "x double").coalesce(1).select(_millionths("x").alias("x")).collect()]
+    assert got == [x for (x,) in duckdb.connect().execute("select round(x, 6) from (select unnest(?::double[]) as x)", [ties]).fetchall()]
