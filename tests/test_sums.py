@@ -45,7 +45,7 @@ def equal_to_sql(spark, at, name):
     assert len(want) and plain(got) == plain(want)
 
 
-@pytest.mark.parametrize("name", ["j5_focus_list", "m3_focus_frames", "p7_segment_quality", "j6_other_classes"])
+@pytest.mark.parametrize("name", ["j5_focus_list", "m3_focus_frames", "p7_segment_quality", "j6_other_classes", "s6_segment_scan"])
 def test_threshold(spark, events, shuffled, name):
     equal_to_sql(spark, events, name)
 
