@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -109,14 +110,31 @@ _kept: list = [None, None]
 def kept(name: str, make: Callable[[], T]) -> T:
     """What a Python worker keeps from task to task under this name. A worker serves all stages in turn, and keeps the last one's alone."""
     if _kept[0] != name:
-        _kept[:] = [None, None]
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)  # freed memory goes back, where the C library knows how
+        _forget()
         _kept[:] = [name, make()]
     return _kept[1]
 
 
+def _forget() -> None:
+    _kept[:] = [None, None]
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)  # freed memory goes back, where the C library knows how
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which a Python worker gives its caches and Arrow's memory back: a stage with two such functions has twice the workers, and idle
+    ones count for their executor for another minute."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _forget()
+        pa.default_memory_pool().release_unused()
+
+    return tidied
+
+
 class WordHash(dict):
     """64-bit hashes of words (bytes), kept while there is room."""
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHash, aside, components, kept, mix, restored, slices, table
+from .common import Scratch, WordHash, aside, components, kept, mix, restored, slices, table, tidy
 
 WORDS, BANDS, ROWS, BITS = 5, 32, 3, 2
 LEAST = 75  # per cent of the union
@@ -72,6 +72,7 @@ def band_keys(mins: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndar
 SIGNATURE = "doc_id long, n_shingles long, digest binary, sig array<long>, bands array<long>"
 
 
+@tidy
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words = kept("minhash", WordHash)
     for b in slices(batches, "text"):
@@ -88,6 +89,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@tidy
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each shingle of each document, the document's other columns beside it."""
     words = kept("minhash", WordHash)
@@ -119,12 +121,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
         yield held, np.array([held.shape[1]])
 
 
+@tidy
 def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Before the shuffle: no task sends more than RARE + 1 rows of a shingle, however many documents have it."""
     for x, _ in _runs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], NAMES)
 
 
+@tidy
 def _scarce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by s those of shingles with RARE rows at most, and that number as df."""
     for x, n in _runs(batches):
@@ -133,6 +137,7 @@ def _scarce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[pa.array(c[ok]) for c in x], pa.array(df[ok])], [*NAMES, "df"])
 
 
+@tidy
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many shingles of a document fall into each of TALLIES parts."""
     words = kept("minhash", WordHash)
@@ -154,6 +159,7 @@ def similarity(a: str, b: str, n_words: int = BANDS * ROWS, bits: int = BITS):
     return ((1 - differ / F.lit(float(n_words))) - chance) / (1 - chance)
 
 
+@tidy
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, last, left = kept("minhash", WordHash), None, None
     for b in slices(batches, "text_a"):
@@ -187,6 +193,7 @@ def _candidates(tmp: Scratch, texts: DataFrame, ids: DataFrame) -> DataFrame:
         found[(r.k - 1) * len(r.bits) : r.k * len(r.bits)] = np.frombuffer(r.bits, np.uint8)
     sent = spark.sparkContext.broadcast(found)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = b.column("p").to_numpy()

@@ -152,3 +152,13 @@ def test_stage_with_clashing_columns_and_different_texts_of_one_id(spark):
     got = M.stage(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(map(tuple, got.collect())) == [(1, t, "b", 1), (7, "", "r", 5)]
+
+
+def test_workers_give_back_their_caches():
+    import pyarrow as pa
+
+    from frameseg.llm import common
+
+    b = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b c d e f"]})
+    assert [x.num_rows for x in M._signatures(iter([b]))] == [1]
+    assert common._kept == [None, None]
