@@ -18,11 +18,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, WordHash, aside, kept, restored, slices, table
+from .common import Scratch, WordHash, aside, kept, restored, slices, table, tidy
 
 BITS, SAMPLE, EPOCHS = 20, 12_000, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 2.0, 0.1
@@ -93,6 +94,7 @@ def in_fold(doc_id: Column) -> Column:
 
 
 def _features(bits: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = kept("toxicity", lambda: WordHash(strip=STRIP))
         for b in slices(batches, "text"):
@@ -103,6 +105,7 @@ def _features(bits: int):
 
 
 def _fit(bits: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
@@ -140,11 +143,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
     return at[:-1], w[:-1], float(w[-1])
 
 
-def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
-    """docs with a column score. The model holds no more than 2**bits numbers."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-
+def _scores(sent: Broadcast, bits: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w, bias = sent.value
         dense = np.zeros(1 << bits, np.float64)
@@ -158,7 +158,13 @@ def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
                 out[i] = bias + dense[np.unique(x)].sum()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sigmoid(out))], [*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return run
+
+
+def score(docs: DataFrame, model: Model, bits: int = BITS) -> DataFrame:
+    """docs with a column score. The model holds no more than 2**bits numbers."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_scores(sent, bits), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

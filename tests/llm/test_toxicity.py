@@ -3,7 +3,9 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
+from frameseg.llm import common
 from frameseg.llm import toxicity as X
 
 
@@ -85,3 +87,13 @@ def test_empty_tables(spark, tmp_path):
     assert X.score(none.drop("score"), X.learn(none, labels)).count() == 0
     assert X.stage(spark, none, str(tmp_path)).columns == ["doc_id", "text", "score"]
     assert X.stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_workers_give_their_caches_back():
+    class Sent:
+        value = (np.array([3]), np.array([1.0]), 0.0)
+
+    batch = pa.RecordBatch.from_pydict({"id": pa.array([1, 2], pa.int64()), "y": pa.array([0, 1], pa.int32()), "text": ["a b c", None]})
+    for make in (X._features, lambda bits: X._scores(Sent, bits)):
+        seen = [common._kept[0] for _ in make(20)(iter([batch]))]
+        assert seen == ["toxicity"] and common._kept == [None, None]
