@@ -19,6 +19,8 @@ from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 T = TypeVar("T")
 #: ASCII white space as the contracts define it; bytes.split() without an argument cuts at the same bytes.
@@ -53,6 +55,13 @@ def _rm_local(path: str) -> None:
 FILE = 50_000
 
 
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's rows, sent as Arrow: from a list of tuples Spark would start Python workers that only copy them, and
+    a daemon of their own on each executor."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(fields.names, r, strict=True)) for r in rows], fields), schema)
+
+
 class Scratch:
     """Written tables below the shared folder. They cut lineage and outlive executors; drop() removes them early, and what is left goes
     when the process ends. An operator whose result is small saves it and drops all else (only())."""
@@ -186,7 +195,7 @@ def running(scratch: Scratch, df: DataFrame, name: str, order: list[Column], par
     for r in sorted(dealt.groupBy("_part").agg(*(F.sum(v).alias(v) for v in values)).collect()):
         offsets.append((r["_part"], *at.values()))
         at = {v: n + r[v] for v, n in at.items()}
-    before = dealt.sparkSession.createDataFrame(offsets, "_part int" + "".join(f", {v}_before long" for v in values))
+    before = local(dealt.sparkSession, offsets, "_part int" + "".join(f", {v}_before long" for v in values))
     w = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     out = dealt.join(F.broadcast(before), "_part")  # a row a range
     return out.withColumns({k: F.col(f"_{k}_before") + F.coalesce(F.sum(f"_{k}").over(w), F.lit(0)) for k in sums}).select(*df.columns, *sums)

@@ -9,7 +9,7 @@ every other column through, whatever its name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,20 +89,10 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-@tidy
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of each document, the document's other columns beside it."""
-    words = kept("minhash", WordHash)
-    for b in slices(batches, "text", 1 << 19):
-        sets = [shingles(t, words) for t in b.column("text").to_pylist()]
-        n = [len(s) for s in sets]
-        yield pa.RecordBatch.from_arrays([*[pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in ("id", "c", "most")], pa.array(np.concatenate(sets).view(np.int64))], ["id", "c", "most", "s"])
-
-
 NAMES = ["id", "c", "most", "s"]
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of rows sorted by s those of whole shingles, and how many there are of each one; of a shingle with more than RARE rows, RARE + 1."""
     held = np.empty((4, 0), np.int64)
     for b in batches:
@@ -121,13 +111,46 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
         yield held, np.array([held.shape[1]])
 
 
-@tidy
-def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Before the shuffle: no task sends more than RARE + 1 rows of a shingle, however many documents have it."""
+def _combined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Before the shuffle: RARE + 1 rows of a shingle at most, however many documents have it."""
     for x, _ in _runs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], NAMES)
 
 
+#: Rows that a task lists before it combines them, about.
+HELD = 1 << 19
+
+
+@tidy
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each document, the document's other columns beside it, combined: of a shingle a task sends RARE + 1 rows
+    at most for each HELD / 2 rows that it sends.
+
+    One function lists and combines, as each Python function of a task takes a worker of its own. Spark gives an executor's idle workers work
+    in turn, so that with more of them than tasks every one fills with the caches of the stages that follow.
+    """
+    words, held = kept("minhash", WordHash), []
+    for b in slices(batches, "text", 1 << 19):
+        sets = [shingles(t, words) for t in b.column("text").to_pylist()]
+        n = [len(s) for s in sets]
+        held.append(pa.RecordBatch.from_arrays([*[pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in NAMES[:3]], pa.array(np.concatenate(sets).view(np.int64))], NAMES))
+        if _n_rows(held) >= HELD:
+            held = _fewer(held)
+            if _n_rows(held) > HELD // 2:
+                yield from held
+                held = []
+    if held:
+        yield from _fewer(held)
+
+
+def _n_rows(held: list[pa.RecordBatch]) -> int:
+    return sum(b.num_rows for b in held)
+
+
+def _fewer(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    return list(_combined(pa.Table.from_batches(held).sort_by("s").to_batches()))
+
+
 @tidy
 def _scarce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by s those of shingles with RARE rows at most, and that number as df."""
@@ -290,7 +313,7 @@ def near_duplicates(docs: DataFrame, least: int = LEAST) -> DataFrame:
     inside = tmp.save(_large(at, own), "inside")
     # a shingle is rare for a document if it has few documents, and far fewer than the document's largest bucket
     rows = "id long, c long, most long, s long"
-    listed = inside.mapInArrow(_listed, rows).sortWithinPartitions("s").mapInArrow(_combined, rows).repartition("s").sortWithinPartitions("s")
+    listed = inside.mapInArrow(_listed, rows).repartition("s").sortWithinPartitions("s")
     few = tmp.save(listed.mapInArrow(_scarce, rows + ", df long"), "few")
     rare = few.where("df <= most")
     part = F.pmod(F.col("s"), F.lit(TALLIES)).cast("int")  # the hash's low bits, signed or not

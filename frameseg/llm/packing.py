@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch, kept, slices, table
+from .common import Scratch, kept, local, slices, table
 
 WINDOW, GRID, CHUNK, SEPARATOR = 2048, 8, 32, 1
 #: Pieces of a text that are put together at a time.
@@ -306,7 +306,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> Data
     sums = rests.groupBy("unit", "salt").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("unit").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("unit", "salt", "before")
     ranked = rests.withColumn("rn", F.row_number().over(W.partitionBy("unit", "salt").orderBy("uid")) - 1).join(sums, ["unit", "salt"]).withColumn("rank", F.col("before") + F.col("rn"))
     # no more slots than three for each bar: the solution is basic
-    slot = F.broadcast(spark.createDataFrame(slots, "slot_unit int, lo long, hi long, place int, first long"))
+    slot = F.broadcast(local(spark, slots, "slot_unit int, lo long, hi long, place int, first long"))
     placed = ranked.join(slot, (ranked.unit == slot.slot_unit) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left")
     placed = tmp.save(placed.select("uid", "doc_id", "doc_tokens", "rest", "rest_crc", "place", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), F.when(F.col("place").isNull(), F.col("chunks")).alias("chunks")), "placed")
     before = W.partitionBy("sequence_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1)

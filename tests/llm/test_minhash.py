@@ -162,3 +162,49 @@ def test_workers_give_back_their_caches():
     b = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b c d e f"]})
     assert [x.num_rows for x in M._signatures(iter([b]))] == [1]
     assert common._kept == [None, None]
+
+
+def test_a_task_lists_and_combines_in_one_function(monkeypatch):
+    """Shingles of many documents are cut, however often what is held is combined; all rows of the others are sent."""
+    import pyarrow as pa
+
+    texts = [f"a b c d e f own{i} words{i} of{i}" for i in range(60)]
+    b = pa.RecordBatch.from_pydict({"id": list(range(60)), "c": list(range(60)), "most": [9] * 60, "text": texts})
+    n: dict[int, int] = {}
+    for t in texts:
+        for s in M.shingles(t, M.WordHash()).view(np.int64).tolist():
+            n[s] = n.get(s, 0) + 1
+    assert max(n.values()) == 60
+    for held in (1 << 19, 700, 100):
+        monkeypatch.setattr(M, "HELD", held)
+        out = pa.Table.from_batches(M._listed(b.slice(i, 5) for i in range(0, 60, 5)))
+        sent = dict(zip(*np.unique(out.column("s").to_numpy(), return_counts=True), strict=True))
+        assert sent.keys() == n.keys() and all(v == n[s] for s, v in sent.items() if n[s] <= M.RARE)
+        bound = 1 if held > 300 else 2 * out.num_rows // held + 1
+        assert all(M.RARE < v <= bound * (M.RARE + 1) for s, v in sent.items() if n[s] > M.RARE)
+
+
+def test_no_task_runs_two_python_functions(spark, monkeypatch):
+    from frameseg.llm import common
+
+    most, save = [], common.Scratch.save
+
+    def python(node):
+        """The most Python functions below a node in its own tasks."""
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return python(node.initialPlan())
+        below = [python(node.children().apply(i)) for i in range(node.children().size())]
+        most.append(max([0, *below]) + (name == "MapInArrow"))
+        return 0 if "Exchange" in name else most[-1]
+
+    def seen(self, df, *args):
+        plan = df._jdf.queryExecution().executedPlan()
+        if "MapInArrow" in plan.toString():
+            python(plan)
+        return save(self, df, *args)
+
+    monkeypatch.setattr(common.Scratch, "save", seen)
+    docs = spark.createDataFrame(template(3, 40), "doc_id long, text string")
+    assert M.near_duplicates(docs).count() == 40
+    assert max(most) == 1

@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from frameseg.llm import packing as P
@@ -111,3 +112,20 @@ def test_long_texts_and_many_pieces(bpe, monkeypatch):
     assert got == [bpe.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
     some = [f"w{i}é" for i in range(2000)]
     assert [np.frombuffer(x, "<u4").tolist() for x in t.ids([p.encode() for p in some])] == [bpe.encode(p, add_special_tokens=False).ids for p in some]
+
+
+def test_small_tables_start_no_python_workers(spark, monkeypatch):
+    """A table made of tuples is an RDD that Python workers copy; one sent as Arrow is part of the plan."""
+    from frameseg.llm.common import Scratch, local, running
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "ExistingRDD" not in plan(running(Scratch(spark, "t"), spark.range(10), "r", [F.col("id")], n=F.lit(1)))
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, *args: (saved.append((args[0], plan(df))), save(self, df, *args))[1])
+    P.pack(spark.range(50).select(F.col("id").alias("doc_id"), F.repeat(F.lit("it "), F.lit(149)).alias("text")), window=256)
+    assert [name for name, _ in saved] == ["plan", "placed"] and not any("ExistingRDD" in x for _, x in saved)
+    some = local(spark, [(1, 1 << 40), (2, None)], "a int, b long")
+    assert "LocalTableScan" in plan(some) and [tuple(r) for r in some.collect()] == [(1, 1 << 40), (2, None)]
+    assert local(spark, [], "a int, b long").collect() == [] and some.schema.simpleString() == "struct<a:int,b:bigint>"
