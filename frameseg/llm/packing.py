@@ -30,6 +30,8 @@ from .common import Scratch, kept, local, slices, table
 WINDOW, GRID, CHUNK, SEPARATOR = 2048, 8, 32, 1
 #: Pieces of a text that are put together at a time.
 WORDS = 1 << 18
+#: Bytes of texts that are simplified at a time, at most.
+SIMPLE = 1 << 24
 #: Documents of a group that is packed greedily in one task, about.
 GROUP = 1_000
 #: Rows of one length that one window function ranks, about.
@@ -53,19 +55,60 @@ def bytes_of(strings: pa.StringArray) -> list[bytes]:
     return [data[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
+#: Each byte in ASCII's lower case; which bytes are ASCII letters, second bytes of Latin-1's letters (U+00C0 to U+00FF, after C3) and ASCII punctuation.
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[ord("A") : ord("Z") + 1] += 32
+LETTER, LATIN, PUNCTUATION = (np.zeros(256, bool) for _ in range(3))
+LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+LATIN[[i for i in range(0x80, 0xC0) if i not in (0x97, 0xB7)]] = True
+PUNCTUATION[[i for i in range(0x21, 0x7F) if not chr(i).isalnum()]] = True
+#: Pieces that are one word to the tokenizer, unchanged by its normalizer.
+PLAIN = "^[a-zß-öø-ÿ]+$"
+
+
+def simplified(texts: pa.StringArray) -> pa.StringArray:
+    """Texts with the same ids, whose pieces recur more often: letters of ASCII and Latin-1 in lower case, and a space between such a letter
+    and ASCII punctuation, where the tokenizer cuts too. Before a character that may be a combining mark letters stay: H and U+0331 aren't one
+    character, h and U+0331 are, and the tokenizer composes before it lowers. Texts with what may be a special string stay as they are, and so do more than SIMPLE bytes, which bounds memory."""
+    _, ends, data = texts.buffers()
+    if not len(texts) or not data:
+        return texts
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if not 0 < (size := int(ends[-1] - ends[0])) <= SIMPLE:
+        return texts
+    old, ends = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+    following = np.zeros(size, np.uint8)
+    following[:-1] = old[1:]
+    alone = (following < 0x80) | (following == 0xC3)
+    latin = np.zeros(size, bool)
+    latin[1:] = LATIN[old[1:]] & (old[:-1] == 0xC3)
+    cut = (LETTER[old] | latin) & PUNCTUATION[following]
+    cut[ends[1:][ends[1:] > 0] - 1] = False
+    special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
+    if special.any():
+        stays = np.repeat(special, np.diff(ends))
+        alone &= ~stays
+        cut &= ~stays
+    new = np.where(alone, SMALL[old], old)
+    new[latin & alone & (old < 0x9F)] += 32
+    at = np.flatnonzero(cut) + 1
+    new, ends = np.insert(new, at, 32), (ends + np.searchsorted(at, ends)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(new))
+
+
 class Tokens:
     """Ids (little-endian unsigned 32-bit bytes) of pieces of text between ASCII white space.
 
-    The tokenizer splits at white space before anything else, so that pieces can be tokenized one by one. A comma or full stop after an
-    ASCII letter is a piece of its own, and ASCII upper case doesn't matter, but for the tokenizer's special strings. Pieces are kept in
-    two generations: when the new one is full it becomes the old one, from which pieces that recur return. So frequent pieces stay,
-    and memory is bounded (some 200 bytes each).
+    The tokenizer splits at white space before anything else, so that pieces can be tokenized one by one; simplified() makes fewer of
+    them. Plain words skip the tokenizer's normalizer and patterns, which leave them as they are. Pieces are kept in two generations:
+    when the new one is full it becomes the old one, from which pieces that recur return. So frequent pieces stay, and memory is
+    bounded (some 200 bytes each).
     """
 
     LIMIT = 500_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         bpe = Tokenizer.from_file(path)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -73,10 +116,26 @@ class Tokens:
         # a special token cuts a text before anything else happens to it, so that pieces between such tokens are tokenized one by one
         plain = [(i, t.content) for i, t in sorted(bpe.get_added_tokens_decoder().items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.mark = plain[0] if plain else None
+        # the model alone, on words between spaces; a word ends where a token has the model's suffix
+        words = Tokenizer(bpe.model)
+        words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.encode_words = getattr(words, "encode_batch_fast", words.encode_batch)
+        suffix, known = bpe.model.end_of_word_suffix, bpe.get_vocab()
+        self.last = np.zeros(max(known.values()) + 1, bool)
+        self.last[[i for t, i in known.items() if suffix and t.endswith(suffix)]] = True
         self.new, self.old = {}, {}
-        self.stops = dict(zip((b",", b"."), self.ids([b",", b"."]), strict=True))
         self.end = array("I", [SEPARATOR]).tobytes()
 
+    def words(self, pieces: list[str], some: int = 512) -> list[bytes]:
+        """Ids of each of the plain words, which go to the tokenizer by the hundreds."""
+        out: list[bytes] = []
+        for e in self.encode_words([" ".join(pieces[i : i + some]) for i in range(0, len(pieces), some)], add_special_tokens=False):
+            found = np.array(e.ids, np.uint32)
+            every, ends = found.tobytes(), (4 * np.flatnonzero(self.last[found]) + 4).tolist()
+            out += [every[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        assert len(out) == len(pieces)
+        return out
+
     def ids(self, pieces: list[bytes], some: int = 512) -> list[bytes]:
         """Of each piece by itself. Pieces without special strings go to the tokenizer by the hundreds, a special token between them."""
         odd = [i for i, p in enumerate(pieces) if not self.mark or b"<|" in p]
@@ -95,46 +154,46 @@ class Tokens:
                 out[i], start = every[start:end], end + 4
         return out
 
-    def learn(self, pieces: set[bytes]) -> None:
+    def learn(self, pieces: list[bytes]) -> None:
         """Pieces that aren't in the new generation come into it."""
-        new, old = self.new, self.old
-        unknown, made = set(), []
-        for x in pieces:
-            if x in old:
-                new[x] = old[x]
-                continue
-            low = x if b"<|" in x else x.lower()
-            if len(low) > 1 and low[-1:] in self.stops and 97 <= low[-2] <= 122:
-                core, stop = low[:-1], low[-1:]
-            else:
-                core, stop = low, b""
-            if core not in new:
-                if core in old:
-                    new[core] = old[core]
-                else:
-                    unknown.add(core)
-            if core != x:
-                made.append((x, core, stop))
-        unknown = list(unknown)
-        new.update(zip(unknown, self.ids(unknown), strict=True))
-        for x, core, stop in made:
-            new[x] = new[core] + self.stops[stop] if stop else new[core]
+        found = list(map(self.old.get, pieces))
+        self.new.update((p, v) for p, v in zip(pieces, found, strict=True) if v is not None)
+        unknown = [p for p, v in zip(pieces, found, strict=True) if v is None]
+        plain = pc.match_substring_regex(pa.array(unknown, pa.binary()).cast(pa.string()), PLAIN).to_pylist() if self.last.any() else [False] * len(unknown)
+        some = [p for p, x in zip(unknown, plain, strict=True) if x]
+        self.new.update(zip(some, self.words([p.decode() for p in some]), strict=True))
+        some = [p for p, x in zip(unknown, plain, strict=True) if not x]
+        self.new.update(zip(some, self.ids(some), strict=True))
 
     def of(self, texts: pa.Array) -> Iterator[bytes]:
         """Ids of each text and the separator. A piece that occurs more than once in these texts is looked up once."""
         if len(self.new) > self.LIMIT:
             self.old, self.new = self.new, {}
-        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        cut = pc.ascii_split_whitespace(simplified(pc.fill_null(texts, "")))
         code = cut.values.dictionary_encode()
         pieces = bytes_of(code.dictionary)  # one may be empty: white space at a text's ends
         found = list(map(self.new.get, pieces))
         gaps = [i for i, v in enumerate(found) if v is None]
-        self.learn({p for i in gaps if (p := pieces[i])})
+        self.learn([p for i in gaps if (p := pieces[i])])
         for i in gaps:
             found[i] = self.new[p] if (p := pieces[i]) else b""
-        take, at, ends = found.__getitem__, code.indices.to_numpy(), cut.offsets.to_numpy().tolist()
+        # ids of the distinct pieces one after the other, and of each text's pieces from there
+        size, flat = np.fromiter(map(len, found), np.int64, len(found)) // 4, np.frombuffer(b"".join(found), np.uint32)
+        start, at, ends = np.cumsum(size) - size, code.indices.to_numpy(), cut.offsets.to_numpy()
+        parts, long, total = [], np.zeros(len(at) + 1, np.int64), 0
+        for i in range(0, len(at), WORDS):
+            some = at[i : i + WORDS]
+            n = size[some]
+            to = np.cumsum(n)
+            if to[-1] > 16 * WORDS:  # long pieces need no index of each id
+                parts.append(b"".join(map(found.__getitem__, some.tolist())))
+            else:
+                parts.append(flat[np.repeat(start[some] - to + n, n) + np.arange(to[-1])].tobytes())
+            long[i + 1 : i + 1 + len(some)] = total + to
+            total += int(to[-1])
+        every, ends = memoryview(b"".join(parts)), (4 * long[ends]).tolist()
         for a, b in zip(ends[:-1], ends[1:], strict=True):
-            yield b"".join([b"".join(map(take, at[i : min(b, i + WORDS)].tolist())) for i in range(a, b, WORDS)]) + self.end
+            yield b"".join((every[a:b], self.end))
 
 
 PLAN = "uid long, doc_id long, doc_tokens long, rest int, first_full long, crcs array<long>, rest_crc long, chunks array<long>"

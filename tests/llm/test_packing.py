@@ -129,3 +129,27 @@ def test_small_tables_start_no_python_workers(spark, monkeypatch):
     some = local(spark, [(1, 1 << 40), (2, None)], "a int, b long")
     assert "LocalTableScan" in plan(some) and [tuple(r) for r in some.collect()] == [(1, 1 << 40), (2, None)]
     assert local(spark, [], "a int, b long").collect() == [] and some.schema.simpleString() == "struct<a:int,b:bigint>"
+
+
+def test_capitals_before_marks(bpe):
+    """Some small letters are one character with a mark, where the capital isn't: the tokenizer composes first and lowers then."""
+    texts = [f"{c}{m}{end}" for c in "HhTtWwYyJjAaÜüI" for m in ("̱", "̈", "̊", "̌", "̄", "̣̱") for end in ("", ",", "x.", "É,")]
+    got = [np.frombuffer(x, "<u4").tolist() for x in P.Tokens(P.vocabulary()).of(pa.array(texts, pa.string()))]
+    assert got == [bpe.encode(x, add_special_tokens=False).ids + [1] for x in texts]
+
+
+def test_each_word_is_tokenized_once(bpe, monkeypatch):
+    """Whatever its capitals and the punctuation after it; the tokenizer's patterns are only needed for what isn't a plain word."""
+    t, seen = P.Tokens(P.vocabulary()), []
+    encode = t.encode
+    t.encode = lambda texts, **kw: (seen.extend(texts), encode(texts, **kw))[1]
+    texts = ["One, ONE. one; (one) Été ÉTÉ, été... oNE,", None, "été!! one's"]
+    want = [bpe.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in t.of(pa.array(texts, pa.string()))] == want
+    assert {p.decode() for p in t.new} == {"one", "été", ",", ".", ";", "(one", ")", "...", "!!", "'s"}
+    assert seen and not any("été" in x for x in seen)
+    texts = ["one " * 9 + "日本語テキスト" * 50, "ONE, Été"] * 4
+    for name, value in (("SIMPLE", 8), ("WORDS", 2)):  # as they are; long pieces
+        monkeypatch.setattr(P, name, value)
+        got = [np.frombuffer(x, "<u4").tolist() for x in t.of(pa.array(texts, pa.string()).slice(1, 5))]
+        assert got == [bpe.encode(x, add_special_tokens=False).ids + [1] for x in texts[1:6]]
